@@ -7,13 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import language, repetition, truncation
+from tracewright.llm import language, leakage, mixing, packing, pairs, repetition, splits, truncation
+from tracewright.oracle import W
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.same_questions(_read(spark, sf, "questions"))
+
+
+def _split_rows(spark: SparkSession, sf: str) -> DataFrame:
+    records = splits.question_records(_read(spark, sf, "questions"), _read(spark, sf, "transitions"))
+    targets = {r["split_name"]: r["target_share"] for r in _read(spark, sf, "split_targets").collect()}
+    split, _ = splits.split_records(records.withColumn("counts", F.col("table_name") == "transitions"), targets, counted="counts")
+    return split.where("counts")
+
+
+def p1_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """The split of every transitions row."""
+    return _split_rows(spark, sf).select(F.col("record_id").alias("row_no"), "component", "split")
+
+
+def p1_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The share each split got."""
+    rows = _split_rows(spark, sf).groupBy("split").agg(F.count("*").alias("n_rows"), F.countDistinct("component").alias("n_components"))
+    total = rows.agg(F.sum("n_rows").alias("all_rows"))
+    return rows.join(F.broadcast(total)).select("split", "n_rows", "n_components", (F.col("n_rows") / F.col("all_rows")).alias("share"))
+
+
 def p2_repetition(spark: SparkSession, sf: str) -> DataFrame:
     """Share of repeated words of every trace, and what line-first cleaning removes."""
     return repetition.repetition(_read(spark, sf, "transitions"), "row_no", "generated_trace")
@@ -23,6 +47,14 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return p2_repetition(spark, sf).where("repeated_share > 0.35").select("row_no")
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    training = _read(spark, sf, "training").select(F.lit("training").alias("pair_table"), F.col("training_id").alias("pair_id"), "source", "prompt", "completion")
+    transitions = _read(spark, sf, "transitions").select(F.lit("transitions").alias("pair_table"), F.col("row_no").alias("pair_id"), "source", F.col("input_x").alias("prompt"), F.col("target_y").alias("completion"))
+    asked = _read(spark, sf, "questions").withColumn("said", F.concat_ws("\n", "question", "reference_solution"))
+    field = language.fit(language.labelled_sample(asked, "question_id", "said", language.normal_label(F.col("lang"))))
+    return pairs.defective_pairs(training.unionByName(transitions), field)
+
+
 def _cut_values(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.stacked(_read(spark, sf, "transitions"), "row_no", "source", ["generated_trace", "target_y"])
 
@@ -42,6 +74,50 @@ def p4_limits(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.hidden_limits(_cut_values(spark, sf))
 
 
+def _training_items(spark: SparkSession, sf: str) -> DataFrame:
+    both = packing.word_count(F.col("prompt")) + packing.word_count(F.col("completion"))
+    return _read(spark, sf, "training").select(F.col("training_id").alias("item_id"), both.alias("words"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    packed = packing.pack(_training_items(spark, sf), _read(spark, sf, "containers"))
+    return packing.split_items(packed).select("container_kind", F.col("item_id").alias("training_id"))
+
+
+def p5_packed(spark: SparkSession, sf: str) -> DataFrame:
+    """Container and position of every piece of every item."""
+    return packing.pack(_training_items(spark, sf), _read(spark, sf, "containers")).withColumnRenamed("item_id", "training_id")
+
+
+def p5_usage(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers used and space unused."""
+    kinds = _read(spark, sf, "containers")
+    return packing.usage(packing.pack(_training_items(spark, sf), kinds), kinds)
+
+
+def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.leaked(_read(spark, sf, "documents"), _read(spark, sf, "eval_items"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _leaks(spark, sf).select("doc_id", "item_id").distinct()
+
+
+def p6_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Items that leaked: in how many documents, and the longest verbatim match."""
+    return _leaks(spark, sf).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.max("verbatim_words").alias("longest_match"))
+
+
+def p7_uses(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each document is used."""
+    return mixing.mix(_read(spark, sf, "documents"), _read(spark, sf, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return mixing.mix(_read(spark, sf, "documents"), _read(spark, sf, "mix_targets"))[1]
+
+
 def _languages(spark: SparkSession, sf: str) -> DataFrame:
     documents = _read(spark, sf, "documents")
     return language.detect(documents, "doc_id", "text", language.fit_documents(documents), "lang")
@@ -57,11 +133,22 @@ def p8_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_splits": p1_splits,
+    "p1_shares": p1_shares,
     "p2_found": p2_found,
     "p2_repetition": p2_repetition,
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_rates": p4_rates,
     "p4_limits": p4_limits,
+    "p5_found": p5_found,
+    "p5_packed": p5_packed,
+    "p5_usage": p5_usage,
+    "p6_found": p6_found,
+    "p6_items": p6_items,
+    "p7_uses": p7_uses,
+    "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_segments": p8_segments,
 }
@@ -71,6 +158,9 @@ g AS (SELECT row_no, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i
 r AS (SELECT row_no, i FROM g QUALIFY row_number() OVER (PARTITION BY row_no, g ORDER BY i) > 1),
 c AS (SELECT row_no, count(DISTINCT i + k) AS n FROM r, (SELECT unnest([0, 1, 2, 3]) AS k) GROUP BY row_no)"""
 
+_ITEM_WORDS = f"(coalesce(len(regexp_extract_all(prompt, '[^{W}]+')), 0) + coalesce(len(regexp_extract_all(completion, '[^{W}]+')), 0))"
+
 ORACLE: dict[str, str] = {
+    "p5_found": f"SELECT container_kind, training_id FROM training, containers WHERE {_ITEM_WORDS} > capacity_words",
     "p2_found": f"{_TRACE_WORDS} SELECT row_no FROM c JOIN w USING (row_no) WHERE n > 0.35 * len(w)",
 }
