@@ -46,6 +46,8 @@ class Domains:
     weights: np.ndarray
 
     def posterior(self, text: str) -> np.ndarray:
+        if not self.names:
+            return np.zeros(0)
         score = self.prior.copy()
         if used := {zlib.crc32(w.encode()) % FEATURES for w in words(text)}:
             score += self.weights[list(used)].sum(0) / np.sqrt(len(used))  # words of a text aren't independent
@@ -54,6 +56,8 @@ class Domains:
 
 
 def fit_domains(samples: list[tuple[str, str]], names: list[str], prior: dict[str, float]) -> Domains:
+    if not names:
+        return Domains([], np.zeros(0), np.zeros((FEATURES, 0)))
     counts = np.full((FEATURES, len(names)), 0.5)
     texts = np.ones(len(names))
     for text, name in samples:
