@@ -9,7 +9,7 @@ from tracewright import cli
 from tracewright.clients import http, registry
 from tracewright.operators import rows as R
 from tracewright.plans import replay as P
-from tracewright.plans.config import BuildConfig, TrainConfig, build_config, load_build_config, load_env_file, load_train_config, override_from_environment
+from tracewright.plans.config import BuildConfig, TrainConfig, build_config, build_config_or, load_build_config, load_env_file, load_train_config, override_from_environment
 from tracewright.sinks.publish import payload_json, publish, stage_report
 from tracewright.sources import questions as S
 from tracewright.sources.prompts import prompt_template, prompt_versions
@@ -96,6 +96,7 @@ def test_config(tmp_path):
     assert (o.generation, o.generator, o.source_subset, o.private, o.source_limit, o.round_id, o.max_pruning_depth) == ({"max_new_tokens": 7}, {"model_id": "g"}, None, True, 4, "z", 3)
     f.write_text("base_model: b\nhub_model_id: m\nhub_dataset_id: d\nreport_to: none\nmax_steps: 5\n")
     assert load_train_config(f, {"MAX_STEPS": "9"}) == TrainConfig("b", "m", "d", max_steps=9, report_to=["none"])
+    assert build_config_or("/none", RAW, {"ROUND_ID": "q"}).round_id == "q" and build_config_or(None, RAW, {}).round_id == "r"
     f.write_text("# c\nexport A='1'\nB = \"2\"\nno\nC=3\n")
     load_env_file(f, env := {"C": "kept"})
     assert env == {"A": "1", "B": "2", "C": "kept"}

@@ -151,5 +151,10 @@ ORACLE: dict[str, str] = {
     "extract_reply_text": "SELECT training_id, CASE WHEN training_id % 7 = 0 THEN '' ELSE coalesce(completion, '') || coalesce(completion, '') END AS reply FROM training",
     "error_message": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND text <> '' THEN text WHEN doc_id % 2 = 0 THEN '{\"error\":{\"message\":\"\"}}' ELSE substr(text, 1, 500) END AS message FROM documents",
 }
+ORACLE["row_contract"] = f"""WITH t AS (SELECT *, generated_units AS u, metadata.removed_start_index AS s, metadata.removed_end_index AS e, {split_numbered('generated_trace')} AS v FROM transitions),
+b AS (SELECT *, coalesce(s >= 0 AND e >= s AND e + 1 < len(u), false) AS ok FROM t)
+SELECT pruning_depth, count(*) AS n_rows, count(*) FILTER (WHERE NOT coalesce(u[e + 2] = target_y, false)) AS bad_target, count(*) FILTER (WHERE NOT ok) AS bad_span,
+ count(*) FILTER (WHERE NOT coalesce(ok AND context_before_generation || CASE WHEN s > 0 THEN chr(10) || array_to_string(u[1:s], chr(10)) ELSE '' END = input_x, false)) AS bad_input,
+ count(*) FILTER (WHERE v IS DISTINCT FROM u) AS bad_units FROM b GROUP BY pruning_depth"""
 ORACLE["round_summary"] = f"SELECT depth, status, count(*) AS attempts, count(DISTINCT question_id) AS questions FROM ({ORACLE['audit_status']}) GROUP BY ALL"
 ORACLE["frontier_loop"] = ORACLE["replay_rows"].replace("(run_no % 2)::INT AS s, (run_no % 2 * 3)::INT AS e", "0 AS s, 0 AS e")

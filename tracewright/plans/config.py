@@ -102,6 +102,12 @@ def load_build_config(path: str | Path) -> BuildConfig:
     return build_config(_yaml(path))
 
 
+def build_config_or(path: str | Path | None, default: Mapping[str, Any], environment: Mapping[str, str] | None = None) -> BuildConfig:
+    """The file's settings, or ``default`` where there is no such file, with environment overrides."""
+    raw = _yaml(path) if path and Path(path).exists() else default
+    return override_from_environment(build_config(raw), environment)
+
+
 def build_config(raw: Mapping[str, Any]) -> BuildConfig:
     config = _from_mapping(BuildConfig, raw, ("round_id", "source_dataset", "hub_dataset_id"))
     for name in ("generator", "decision"):
@@ -111,10 +117,11 @@ def build_config(raw: Mapping[str, Any]) -> BuildConfig:
 
 
 def load_train_config(path: str | Path, environment: Mapping[str, str] | None = None) -> TrainConfig:
-    """The file's settings; a field's upper-case name in ``environment`` wins over the file."""
+    """The file's settings; a field's upper-case name in ``environment`` (``WANDB_PROJECT`` for the project) wins over the file."""
     raw = dict(_yaml(path))
+    names = {"project": "WANDB_PROJECT"}
     for f in fields(TrainConfig):
-        if (given := (environment or {}).get(f.name.upper())) is not None:
+        if (given := (environment or {}).get(names.get(f.name, f.name.upper()))) is not None:
             raw[f.name] = [x.strip() for x in given.split(",") if x.strip()] if f.name == "report_to" else given
     return _from_mapping(TrainConfig, raw, ("base_model", "hub_model_id", "hub_dataset_id"))
 

@@ -12,7 +12,7 @@ from tracewright.clients.replay import FixedSpanJudge
 from tracewright.functions import text as T
 from tracewright.functions.decision import decision_valid, parse_decision, unit_count_gate
 from tracewright.operators import rows as R
-from tracewright.operators.checks import broken_targets, depth_gaps
+from tracewright.operators.checks import broken_targets, depth_gaps, row_contract
 from tracewright.plans import replay as P
 from tracewright.plans.config import BuildConfig
 from tracewright.plans.live import build_rows
@@ -185,6 +185,12 @@ def depth_gaps_query(spark: SparkSession, sf: str) -> DataFrame:
     return depth_gaps(_read(spark, sf, "transitions"), "run_no")
 
 
+def row_contract_query(spark: SparkSession, sf: str) -> DataFrame:
+    checked = row_contract(_read(spark, sf, "transitions"))
+    broken = [F.sum(F.col(c).cast("int")).alias(c) for c in ("bad_target", "bad_span", "bad_input", "bad_units")]
+    return checked.groupBy("pruning_depth").agg(F.count("*").alias("n_rows"), *broken)
+
+
 def first_valid_attempt(spark: SparkSession, sf: str) -> DataFrame:
     won = P.first_valid_attempt(attempts(spark, sf), CONFIG)
     return won.select("question_id", "depth", "attempt", "trace", F.size("units").alias("n_units"))
@@ -280,6 +286,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stable_row_id": stable_row_id,
     "broken_targets": broken_targets_query,
     "depth_gaps": depth_gaps_query,
+    "row_contract": row_contract_query,
     "first_valid_attempt": first_valid_attempt,
     "replay_rows": replay_rows,
     "training_rows": training_rows,
