@@ -31,14 +31,25 @@ LEAST_SEEN, END_SHARE = 3, 0.34
 PIECE = "\\n+|(?<=[.!?])\\s+"
 
 
+#: Blanks and invisible characters, one by one: trimming by a set is far cheaper than by a pattern.
+BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0xAD, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x202F), 0x202F, 0x205F, *range(0x2060, 0x2065), 0x3000, 0xFEFF]))
+#: Endings are read off so many last visible characters.
+TAIL = 40
+
+
 def visible(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[\\s\\p{{Z}}{INVISIBLE}]+|[\\s\\p{{Z}}{INVISIBLE}]+\\z", "")
+    return F.trim(text, F.lit(BLANKS))
+
+
+def _tail(v: Column) -> Column:
+    return F.when(F.length(v) > TAIL, F.substring(v, -TAIL, TAIL)).otherwise(v)
 
 
 def is_empty(text: Column) -> Column:
     """Null, or nothing but blanks, invisible characters, punctuation or a placeholder for a missing value."""
-    bare = F.lower(F.regexp_replace(text, f"[\\s\\p{{Z}}{INVISIBLE}<>\\[\\](){{}}\"'`_*#|]+", ""))
-    return text.isNull() | bare.isin(PLACEHOLDERS) | ~bare.rlike(r"[\p{L}\p{N}]")
+    v = visible(text)
+    bare = F.lower(F.regexp_replace(v, f"[\\s\\p{{Z}}{INVISIBLE}<>\\[\\](){{}}\"'`_*#|]+", ""))
+    return text.isNull() | ~text.rlike(r"[\p{L}\p{N}]") | ((F.length(v) < 2 * TAIL) & bare.isin(PLACEHOLDERS))
 
 
 def lengths(text: Column) -> dict[str, Column]:
@@ -61,9 +72,15 @@ def lengths(text: Column) -> dict[str, Column]:
     }
 
 
-def _ended(text: Column) -> Column:
-    """Closed by a full stop that is no cut mark."""
-    return text.rlike(STOP) & ~text.rlike(CUT_MARK) & ~text.rlike(r"(?:^|\n)\s*\d+[.)]\z")
+def _ended(visible_text: Column) -> Column:
+    """Closed by a full stop that is no cut mark, nor part of a bare list number."""
+    end = _tail(visible_text)
+    return end.rlike(STOP) & ~end.rlike(CUT_MARK) & ~end.rlike(r"(?:^|\n)\s*\d+[.)]\z")
+
+
+def open_values(values: DataFrame) -> DataFrame:
+    """Values that are neither empty nor closed by a full stop, with ``_v``, their visible text."""
+    return values.where(~is_empty(F.col("text"))).withColumn("_v", visible(F.col("text"))).where(~_ended(F.col("_v")))
 
 
 def hidden_limits(values: DataFrame, least: int = 12, share: float = 0.12, peak: float = 5.0) -> DataFrame:
@@ -72,10 +89,13 @@ def hidden_limits(values: DataFrame, least: int = 12, share: float = 0.12, peak:
     ``values`` has source, field_name, text. A length is a limit if at least ``least`` values without a final full stop have it, they
     are at least ``share`` of all such values of the source and field, and ``peak`` times the mean of the three lengths on either
     side. A null source is a source of its own."""
-    open_values = values.where(~is_empty(F.col("text"))).select("source", "field_name", visible(F.col("text")).alias("v"), "text").where(~_ended(F.col("v")))
+    return _limits(open_values(values), least, share, peak)
+
+
+def _limits(unfinished: DataFrame, least: int = 12, share: float = 0.12, peak: float = 5.0) -> DataFrame:
     rank = {name: i for i, name in enumerate(lengths(F.lit("")))}
     each = F.explode(F.array(*[F.struct(F.lit(name).alias("encoding"), n.alias("length")) for name, n in lengths(F.col("text")).items()]))
-    counts = open_values.select("source", "field_name", each.alias("e")).groupBy("source", "field_name", F.col("e.encoding").alias("encoding"), F.col("e.length").alias("length")).agg(F.count("*").alias("n"))
+    counts = unfinished.select("source", "field_name", each.alias("e")).groupBy("source", "field_name", F.col("e.encoding").alias("encoding"), F.col("e.length").alias("length")).agg(F.count("*").alias("n"))
     group = Window.partitionBy("source", "field_name", "encoding")
     near = group.orderBy("length").rangeBetween(-3, 3)
     peaks = (
@@ -197,14 +217,11 @@ def truncated(values: DataFrame, statistics_from: DataFrame | None = None) -> Da
     texts = values.select("text") if statistics_from is None else values.select("text").unionByName(statistics_from.select("text"))
     sentences = checkpointed(sentence_counts(texts))
     verdicts = open_verdicts(sentences)
-    v = F.col("_v")
-    open_values = values.withColumn("_v", visible(F.col("text"))).where(~is_empty(F.col("text")) & ~_ended(v))
-    marked = v.rlike(CUT_MARK)
-    last = F.get(_pieces(masked(v)), F.size(_pieces(masked(v))) - 1)
-    open_values = open_values.withColumn("_piece", last).withColumn("_marked", marked)
-    limits = hidden_limits(values).withColumnRenamed("source", "_s").withColumnRenamed("field_name", "_f")
+    columns = [F.col(c) for c in values.columns]
+    unfinished = checkpointed(open_values(values).select(*columns, _tail(F.col("_v")).rlike(CUT_MARK).alias("_marked"), F.try_element_at(_pieces(masked(F.col("_v"))), F.lit(-1)).alias("_piece")))
+    limits = _limits(unfinished).withColumnRenamed("source", "_s").withColumnRenamed("field_name", "_f")
     encoded = F.map_from_arrays(F.array(*[F.lit(k) for k in lengths(F.lit(""))]), F.array(*lengths(F.col("text")).values()))
-    joined = open_values.join(verdicts.withColumnRenamed("piece", "_piece"), "_piece", "left").join(limits, F.col("source").eqNullSafe(F.col("_s")) & (F.col("field_name") == F.col("_f")), "left")
+    joined = unfinished.join(verdicts.withColumnRenamed("piece", "_piece"), "_piece", "left").join(limits, F.col("source").eqNullSafe(F.col("_s")) & (F.col("field_name") == F.col("_f")), "left")
     at_limit = F.coalesce(F.element_at(encoded, F.col("encoding")) == F.col("limit"), F.lit(False))
     evidence = F.when(F.col("_marked"), "mark").when(F.coalesce("unfinished", F.lit(False)), "ending").when(at_limit, "limit")
     return joined.withColumn("evidence", evidence).where(F.col("evidence").isNotNull()).select(*values.columns, "evidence")
