@@ -132,41 +132,49 @@ def matches(string: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, n
     return place, item, length
 
 
-def _edits(a: np.ndarray, b: np.ndarray) -> list[int]:
+def _edits(a: list[int], b: list[int]) -> list[int]:
     """For every number of leading words of ``a`` the fewest changes that turn them into some leading words of ``b``."""
     row, out = list(range(len(b) + 1)), [0]
     for i, x in enumerate(a, 1):
         diagonal, row[0] = row[0], i
         best = i
         for j, y in enumerate(b, 1):
-            value = diagonal if x == y and x else 1 + min(diagonal, row[j], row[j - 1])
-            diagonal, row[j] = row[j], value
+            above = row[j]
+            if x == y and x:
+                value = diagonal
+            else:
+                value = diagonal if diagonal < above else above
+                if row[j - 1] < value:
+                    value = row[j - 1]
+                value += 1
+            diagonal, row[j] = above, value
             if value < best:
                 best = value
         out.append(best)
     return out
 
 
-def aligned(string: np.ndarray, first: int, last: int, items: Items, place: int, item: int, length: int) -> tuple[int, int] | None:
+def aligned(string: np.ndarray, first: int, last: int, items: Items, place: int, item: int, length: int, reach: int = 3 * FUZZY) -> tuple[int, int] | None:
     """The longest passage around an anchor with at most one word in five changed, as words and changes; None under ``FUZZY`` words.
 
-    ``first`` and ``last`` bound the document. Passages are followed for up to three times ``FUZZY`` words to either side."""
-    reach = 3 * FUZZY
-    k = items.owner[item]
+    ``first`` and ``last`` bound the document. Passages are followed for ``reach`` words to either side. To know whether there is one,
+    ``FUZZY - ANCHOR`` are enough: of a longer passage some ``FUZZY`` words have no more than one in five changed, and an anchor."""
     left = items.string[max(0, item - reach) : item][::-1]
     left = left[: int(np.argmax(left == 0)) if (left == 0).any() else len(left)]
     right = items.string[item + length : item + length + reach]
     right = right[: int(np.argmax(right == 0)) if (right == 0).any() else len(right)]
     room = lambda n: n + n // 5 + 2
-    before = _edits(left, string[max(first, place - room(len(left))) : place][::-1])
-    after = _edits(right, string[place + length : min(last, place + length + room(len(right)))])
+    before = _edits(left.tolist(), string[max(first, place - room(len(left))) : place][::-1].tolist())
+    most = length + len(right)
+    if not any(a + most >= FUZZY and x <= CHANGED * (a + most) for a, x in enumerate(before)):
+        return None
+    after = _edits(right.tolist(), string[place + length : min(last, place + length + room(len(right)))].tolist())
     best = None
     for a, x in enumerate(before):
         for b, y in enumerate(after):
             words = a + length + b
             if words >= FUZZY and x + y <= CHANGED * words and (best is None or (words, -x - y) > best):
                 best = (words, -x - y)
-    assert k >= 0
     return None if best is None else (best[0], -best[1])
 
 
@@ -208,12 +216,12 @@ def search(documents: list[list[str]], items: Items) -> list[tuple]:
         d = key[0]
         end = bounds[d + 1] - 1 if d + 1 < len(bounds) else len(text) - 1
         n = int(length[i])
+        if n < VERBATIM and not aligned(text, int(bounds[d]), int(end), items, int(place[i]), int(item[i]), n, FUZZY - ANCHOR):
+            continue
         passage = aligned(text, int(bounds[d]), int(end), items, int(place[i]), int(item[i]), n)
-        if n >= VERBATIM or passage:
-            words, changes = passage or (n, 0)
-            at = int(item[i])
-            begin = int(np.flatnonzero(items.owner == key[1])[0])
-            found[key] = [n, max(words, n), changes if words > n else 0, int(place[i] - bounds[d]), at - begin]
+        words, changes = passage or (n, 0)
+        begin = int(np.flatnonzero(items.owner == key[1])[0])
+        found[key] = [n, max(words, n), changes if words > n else 0, int(place[i] - bounds[d]), int(item[i]) - begin]
     return [(d, items.ids[k], *rest) for (d, k), rest in found.items()]
 
 
