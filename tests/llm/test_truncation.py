@@ -35,7 +35,7 @@ def corpus(n=1500, seed=3):
 def test_cuts_are_found(spark):
     rows, cut = corpus()
     odd = [(-1, "a", "f", None), (-2, "a", "f", ""), (-3, "a", "f", "N/A"), (-4, None, "f", "​ "), (-5, "a", "f", "..."), (-6, "b", "f", "word " * 20000 + "done.")]
-    df = spark.createDataFrame(rows + odd, "id int, source string, field_name string, text string").withColumn("evidence2", F.lit(1))
+    df = spark.createDataFrame(rows + odd, "id int, source string, field_name string, text string").withColumn("evidence", F.lit(1)).withColumn("limit", F.lit(1)).withColumn("encoding", F.lit("x"))
     got = {r.id for r in X.truncated(df).collect()}
     assert len(got - cut) <= 0.03 * len(cut) and len(cut - got) <= 0.03 * len(cut)
     assert not any(i < 0 for i in got)

@@ -108,6 +108,12 @@ def p6_items(spark: SparkSession, sf: str) -> DataFrame:
     return _leaks(spark, sf).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.max("verbatim_words").alias("longest_match"))
 
 
+def p6_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents without a leaked passage."""
+    documents = _read(spark, sf, "documents")
+    return leakage.without_leaks(documents.select("doc_id"), _leaks(spark, sf))
+
+
 def p7_uses(spark: SparkSession, sf: str) -> DataFrame:
     """How often each document is used."""
     return mixing.mix(_read(spark, sf, "documents"), _read(spark, sf, "mix_targets"))[0]
@@ -127,6 +133,12 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return language.mislabelled(_languages(spark, sf), "doc_id", "lang").select("doc_id", "lang")
 
 
+def p8_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The main language of every text, its confidence, and how many languages the text has."""
+    main = F.get("languages", F.lit(0))
+    return _languages(spark, sf).select("doc_id", main["lang"].alias("lang"), main["confidence"].alias("confidence"), F.size("languages").alias("n_languages"))
+
+
 def p8_segments(spark: SparkSession, sf: str) -> DataFrame:
     """Every stretch of every text with its language and confidence."""
     return _languages(spark, sf).select("doc_id", F.posexplode("segments").alias("segment_no", "s")).select("doc_id", "segment_no", "s.*")
@@ -147,9 +159,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_usage": p5_usage,
     "p6_found": p6_found,
     "p6_items": p6_items,
+    "p6_kept": p6_kept,
     "p7_uses": p7_uses,
     "p7_shares": p7_shares,
     "p8_found": p8_found,
+    "p8_documents": p8_documents,
     "p8_segments": p8_segments,
 }
 

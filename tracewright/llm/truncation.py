@@ -213,18 +213,19 @@ def truncated(values: DataFrame, statistics_from: DataFrame | None = None) -> Da
     """``values`` (source, field_name, text and any other columns) that were cut, with ``evidence``: mark, ending or limit.
 
     Null, blank and placeholder values are never cut, nor are values closed by a full stop. Repeated rows come out as often as they
-    come in. ``statistics_from`` (a table with text) adds sentences to learn endings from."""
+    come in; a column ``evidence`` of theirs is replaced. ``statistics_from`` (a table with text) adds sentences to learn endings from."""
     texts = values.select("text") if statistics_from is None else values.select("text").unionByName(statistics_from.select("text"))
     sentences = checkpointed(sentence_counts(texts))
     verdicts = open_verdicts(sentences)
-    columns = [F.col(c) for c in values.columns]
-    unfinished = checkpointed(open_values(values).select(*columns, _tail(F.col("_v")).rlike(CUT_MARK).alias("_marked"), F.try_element_at(_pieces(masked(F.col("_v"))), F.lit(-1)).alias("_piece")))
-    limits = _limits(unfinished).withColumnRenamed("source", "_s").withColumnRenamed("field_name", "_f")
+    names = [c for c in values.columns if c != "evidence"]
+    unfinished = checkpointed(open_values(values).select(*names, _tail(F.col("_v")).rlike(CUT_MARK).alias("_marked"), F.try_element_at(_pieces(masked(F.col("_v"))), F.lit(-1)).alias("_piece")))
+    limits = _limits(unfinished).select(F.col("source").alias("_s"), F.col("field_name").alias("_f"), F.col("encoding").alias("_encoding"), F.col("limit").alias("_limit"))
+    verdicts = verdicts.select(F.col("piece").alias("_piece"), F.col("unfinished").alias("_unfinished"))
     encoded = F.map_from_arrays(F.array(*[F.lit(k) for k in lengths(F.lit(""))]), F.array(*lengths(F.col("text")).values()))
-    joined = unfinished.join(verdicts.withColumnRenamed("piece", "_piece"), "_piece", "left").join(limits, F.col("source").eqNullSafe(F.col("_s")) & (F.col("field_name") == F.col("_f")), "left")
-    at_limit = F.coalesce(F.element_at(encoded, F.col("encoding")) == F.col("limit"), F.lit(False))
-    evidence = F.when(F.col("_marked"), "mark").when(F.coalesce("unfinished", F.lit(False)), "ending").when(at_limit, "limit")
-    return joined.withColumn("evidence", evidence).where(F.col("evidence").isNotNull()).select(*values.columns, "evidence")
+    joined = unfinished.join(verdicts, "_piece", "left").join(limits, F.col("source").eqNullSafe(F.col("_s")) & (F.col("field_name") == F.col("_f")), "left")
+    at_limit = F.coalesce(F.element_at(encoded, F.col("_encoding")) == F.col("_limit"), F.lit(False))
+    evidence = F.when(F.col("_marked"), "mark").when(F.coalesce("_unfinished", F.lit(False)), "ending").when(at_limit, "limit")
+    return joined.withColumn("evidence", evidence).where(F.col("evidence").isNotNull()).select(*names, "evidence")
 
 
 def stacked(rows: DataFrame, key: str, source: str, fields: list[str]) -> DataFrame:
