@@ -188,21 +188,24 @@ def open_verdicts(sentences: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["piece", "k", "before", "last"])
 
     asked = sentences.where("open > 0").select("piece").mapInPandas(run, "piece string, k int, before string, last string")
+    probes = asked.select("before", "last").distinct()
     known = ending_statistics(sentences)
-    start = lambda c: F.when(F.col("before") == "", F.substring(c, 1, 3)).otherwise("")  # noqa: E731  (keeps the join on no words apart by first letters)
-    asked, known = asked.withColumn("start", start(F.col("last"))), known.withColumn("start", start(F.col("word")))
-    short = asked.where("before = '' AND length(last) < 3").select("piece", "k", "before", "last")
+    # Longer words with the same beginning meet by first letters: up to three, and exactly three where no word stands before.
+    letters = lambda w: F.least(F.lit(3), F.length(w))
+    by_start = probes.where("before <> '' OR length(last) >= 3").withColumn("start", F.substr("last", F.lit(1), letters("last")))
+    sizes = F.when(F.col("before") == "", F.array(F.lit(3))).otherwise(F.sequence(F.lit(1), F.greatest(F.lit(1), letters("word"))))
+    begun = known.withColumn("size", F.explode(sizes)).where("size <= length(word)").withColumn("start", F.substr("word", F.lit(1), F.col("size"))).drop("size")
+    columns = ["before", "last", "word", "ends", "opens", "goes"]
+    near = begun.join(by_start, ["before", "start"]).where(F.startswith("word", "last")).select(*columns)
+    alone = known.where("before = '' AND length(word) < 3").withColumn("last", F.col("word")).join(probes.where("before = '' AND length(last) < 3"), ["before", "last"]).select(*columns)
     same = F.col("word") == F.col("last")
-    near = asked.join(known, ["before", "start"]).where(F.startswith("word", "last"))
-    nearer = short.join(known.where("before = ''").drop("before", "start"), F.col("word") == F.col("last"))
-    columns = ["piece", "k", "last", "word", "ends", "opens", "goes"]
-    seen = near.select(*columns).unionByName(nearer.select(*columns)).groupBy("piece", "k").agg(
+    seen = near.unionByName(alone).groupBy("before", "last").agg(
         F.max(F.when(same, F.col("ends") + F.col("opens")).otherwise(0)).alias("done"),
         F.max(F.when(same, F.col("ends") + F.col("goes")).otherwise(0)).alias("known"),
         F.sum(F.when(same, F.col("goes")).otherwise(F.col("ends") + F.col("goes"))).alias("goes"),
     )
     weight = F.col("done") + F.col("goes")
-    judged = seen.groupBy("piece").agg(
+    judged = asked.join(seen, ["before", "last"]).groupBy("piece").agg(
         F.max_by(F.col("done") / weight, F.when(weight >= LEAST_SEEN, F.col("k"))).alias("share"), F.max(F.when(F.col("k") == 0, F.col("known"))).alias("known")
     )
     complete = (F.coalesce("known", F.lit(0)) >= LEAST_SEEN) & (F.coalesce("share", F.lit(0.0)) >= END_SHARE)
