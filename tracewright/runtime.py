@@ -25,7 +25,7 @@ def session(name: str = "tracewright", cores: int | str = "*", shuffle_partition
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
             spark.sparkContext.setCheckpointDir(folder)
