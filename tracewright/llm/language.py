@@ -43,6 +43,8 @@ LENGTH = 32
 TOKEN = re.compile(r"<[^<>\n]{1,60}>|&#?\w{1,10};|([^\W\d_]+(?:['’\-‐­​-‍⁠﻿]+[^\W\d_]+)*)|([.!?…]+(?=\W|$)|\n)")
 #: A sentence speaks for a language from so many words on, with so much more evidence for it than for the text's main language.
 LEAST_WORDS, LEAST_MARGIN, LEAST_CONFIDENCE = 3, 8.0, 0.9
+#: All its sentences together must have so much; one clear sentence of five or more words has.
+LEAST_PROOF = 45.0
 
 
 def normal_label(label: Column) -> Column:
@@ -289,6 +291,10 @@ def describe(sentences: list[tuple], labels: list[str]) -> tuple[list, list]:
         share[s[3]] += s[2] * s[4]
     main = int(share.argmax()) if share.max() > 0 else int(whole.argmax())
     sure = [s[2] >= LEAST_WORDS and s[4] >= LEAST_CONFIDENCE and (s[3] == main or s[5][s[3]] - s[5][main] >= LEAST_MARGIN) for s in sentences]
+    proof = np.zeros(len(labels))
+    for s, ok in zip(sentences, sure):
+        proof[s[3]] += ok * (s[5][s[3]] - s[5][main])
+    sure = [ok and (s[3] == main or proof[s[3]] >= LEAST_PROOF) for s, ok in zip(sentences, sure)]
     stretches: list[list] = []
     for s, ok in zip(sentences, sure):
         y = s[3] if ok else (stretches[-1][2] if stretches else None)
