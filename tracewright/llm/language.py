@@ -234,7 +234,7 @@ def _fit(texts: list, labels: list[str], rounds: int, rng: np.random.Generator)
 class Tagger:
     """Applies a field to texts; keeps each word's scores for the life of a task, up to a bound."""
 
-    def __init__(self, field: Field, keep: int = 400_000) -> None:
+    def __init__(self, field: Field, keep: int = 200_000) -> None:
         self.field, self.keep = field, keep
         self.cache: dict[str, np.ndarray] = {}
 
