@@ -43,3 +43,12 @@ def test_a_cluster_must_name_one():
 def test_local(spark):
     assert shared_folder(spark)
     assert sorted(r.id for r in checkpointed(spark.range(3)).collect()) == [0, 1, 2]
+
+
+def test_package_is_shipped_once(spark):
+    from tracewright.runtime import ship
+
+    ship(spark)
+    before = list(spark.sparkContext._python_includes)
+    ship(spark)
+    assert "tracewright.zip" in before and spark.sparkContext._python_includes == before

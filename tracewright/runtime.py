@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "tracewright", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session with the settings the engine is tested with; a cluster brings its own."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -21,6 +23,22 @@ def session(name: str = "tracewright", cores: int | str = "*", shuffle_partition
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers of the session, once: they need not have it on their path."""
+    context = spark.sparkContext
+    if getattr(context, "_tracewright_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="tracewright-")) / "tracewright.zip"  # read on the driver, which serves it to the executors
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._tracewright_shipped = True
 
 
 def shared_folder(spark: SparkSession) -> str:
