@@ -74,6 +74,52 @@ def test_changed_words(every, want):
     assert found(" ".join(fill(10) + changed(ITEM[:50], every) + fill(10))) == want
 
 
+def fewest(passage, text):
+    """Fewest changes that turn ``passage`` into some stretch of ``text``."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(passage, 1):
+        new = [i]
+        for j, y in enumerate(text, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return min(row)
+
+
+def holds(item, text):
+    whole = f" {' '.join(text)} "
+    if any(f" {' '.join(item[i : i + K.VERBATIM])} " in whole for i in range(len(item) - K.VERBATIM + 1)):
+        return True
+    return any(5 * fewest(item[i : i + n], text) <= n for n in range(K.FUZZY, len(item) + 1) for i in range(len(item) - n + 1))
+
+
+def test_changes_in_clusters():
+    item = [f"v{i}" for i in range(30)]
+    text, at = [], 0
+    for run in (5, 3, 3, 3, 3, 2, 5):  # six words replaced, exactly one in five; only the outer runs are anchors
+        text += [*item[at : at + run], "zz"]
+        at += run + 1
+    items = K.Items([(1, " ".join(item), None)])
+    assert K.search([fill(20) + text[:-1] + fill(20)], items)
+    begin = item[:4] + ["zz"] * 5 + item[4:25]  # all changes are words put in beside a short run at the item's begin
+    assert K.search([fill(20) + begin + fill(20)], items)
+
+
+def test_changes_against_brute_force():
+    r = random.Random(21)
+    for n in range(25, 61):
+        for kind in ("replaced", "any", "one more"):
+            item = [f"v{i}" for i in range(n)]
+            k = n // 5 + (kind == "one more")
+            heads = [r.randrange(n) for _ in range(r.randrange(1, 4))]
+            places = r.sample(range(n), k) if r.random() < 0.5 else sorted(range(n), key=lambda i: min(abs(i - h) for h in heads) + 3 * r.random())[:k]
+            text = []
+            for i, w in enumerate(item):
+                how = r.choice(["replaced", "dropped", "inserted"]) if kind == "any" and i in places else "replaced"
+                text += [w] if i not in places else {"replaced": ["zz"], "dropped": [], "inserted": ["zz", w]}[how]
+            items = K.Items([(1, " ".join(item), None)])
+            assert bool(K.search([fill(12) + text + fill(12)], items)) == holds(item, text), (n, kind)
+
+
 def test_disguise():
     ws = ITEM[5:25]
     text = "1. " + " ".join(ws[:4]).upper() + "&nbsp;" + f"<b>{ws[4]}</b>, " + "\n> ".join(ws[5:9]) + "\n2) " + "; ".join(ws[9:]).replace("w1", "w１")

@@ -3,8 +3,10 @@
 Every task builds suffix arrays over shards of its documents (whole documents, about ``SHARD_WORDS`` words) and looks up every suffix of
 every evaluation item by binary search: the interval of suffixes that begin with the item's next words narrows word by word. That gives
 all maximal verbatim matches with their places. A match of ``VERBATIM`` words is a leak. Shorter ones are anchors: a passage of
-``FUZZY`` words with at most one word in five changed holds an anchor of four unchanged words, from which the passage is aligned
-exactly. Words outside the evaluation items' vocabulary can't match and are one symbol.
+``FUZZY`` words or more with at most one word in five changed holds an anchor of four unchanged words, from which the passage is
+aligned exactly. One of ``2 * FUZZY`` words or more can be cut into two of at least ``FUZZY``, and one of these has no more than one
+word in five changed either; so whether there is a passage shows within ``WITHIN`` words. Words outside the evaluation items'
+vocabulary can't match and are one symbol.
 
 The corpus is read once and never shuffled. Evaluation items are broadcast in blocks of at most ``BLOCK_CHARACTERS`` characters, each a
 pass of its own, so the size of a broadcast is bounded whatever the number of items.
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from tracewright.llm.words import INVISIBLE
 
 VERBATIM, FUZZY, CHANGED, ANCHOR = 12, 25, 0.2, 4
+#: The longest passage that can't be cut into two passages.
+WITHIN = 2 * FUZZY - 1
 SHARD_WORDS, BLOCK_CHARACTERS = 200_000, 8_000_000
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|<!--.*?-->")
 _WRAP = re.compile(r"(\w)[-‐‑]\s*\n[ \t>]*(?=[^\W\d_])")
@@ -158,17 +162,17 @@ def aligned(string: np.ndarray, first: int, last: int, items: Items, place: int,
     """The longest passage around an anchor with at most one word in five changed, as words and changes; None under ``FUZZY`` words.
 
     ``first`` and ``last`` bound the document. Passages are followed for ``reach`` words to either side. To know whether there is one,
-    ``FUZZY - ANCHOR`` are enough: of a longer passage some ``FUZZY`` words have no more than one in five changed, and an anchor."""
+    ``WITHIN - ANCHOR`` are enough."""
     left = items.string[max(0, item - reach) : item][::-1]
     left = left[: int(np.argmax(left == 0)) if (left == 0).any() else len(left)]
     right = items.string[item + length : item + length + reach]
     right = right[: int(np.argmax(right == 0)) if (right == 0).any() else len(right)]
-    room = lambda n: n + n // 5 + 2
-    before = _edits(left.tolist(), string[max(first, place - room(len(left))) : place][::-1].tolist())
+    more = int((len(left) + length + len(right)) * CHANGED)  # all changes may be words put in on one side
+    before = _edits(left.tolist(), string[max(first, place - len(left) - more) : place][::-1].tolist())
     most = length + len(right)
     if not any(a + most >= FUZZY and x <= CHANGED * (a + most) for a, x in enumerate(before)):
         return None
-    after = _edits(right.tolist(), string[place + length : min(last, place + length + room(len(right)))].tolist())
+    after = _edits(right.tolist(), string[place + length : min(last, place + length + len(right) + more)].tolist())
     best = None
     for a, x in enumerate(before):
         for b, y in enumerate(after):
@@ -178,16 +182,31 @@ def aligned(string: np.ndarray, first: int, last: int, items: Items, place: int,
     return None if best is None else (best[0], -best[1])
 
 
-def _near_words(string: np.ndarray, place: np.ndarray, items: Items, item: np.ndarray) -> np.ndarray:
-    """How many of an anchor's neighbouring item words also stand near it in the document: an upper bound on unchanged words."""
-    reach, slack = FUZZY - ANCHOR, (FUZZY - ANCHOR) // 5 + 3
-    span = np.arange(-reach, FUZZY)
-    wide = np.arange(-reach - slack, FUZZY + slack)
-    out = np.zeros(len(place), np.int64)
+def _may_hold(string: np.ndarray, place: np.ndarray, items: Items, item: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether a passage can lie around an anchor: some ``FUZZY`` to ``WITHIN`` item words with it, of which at most one in five lacks.
+
+    A word lacks if it stands nowhere in the document where it can have been moved by the changes of such a passage. Words that lack are
+    no more than the changed ones, so no passage is lost."""
+    reach, shift = WITHIN - ANCHOR, int(WITHIN * CHANGED)
+    out = np.zeros(len(place), bool)
+    steps = np.arange(1, reach + 1)
     for at in range(0, len(place), 4000):
-        x = items.string[np.clip(item[at : at + 4000, None] + span, 0, len(items.string) - 1)]
-        y = string[np.clip(place[at : at + 4000, None] + wide, 0, len(string) - 1)]
-        out[at : at + 4000] = ((x[:, :, None] == y[:, None, :]).any(2) & (x > 0)).sum(1)
+        p, q, n = (z[at : at + 4000, None] for z in (place, item, length))
+
+        def scores(in_items: np.ndarray, in_text: np.ndarray) -> np.ndarray:
+            """For every number of words to one side, the words that stand there less four times those that lack."""
+            x = items.string[np.clip(in_items, 0, len(items.string) - 1)]
+            hit = np.zeros(x.shape, bool)
+            for k in range(-shift, shift + 1):
+                hit |= x == string[np.clip(in_text + k, 0, len(string) - 1)]
+            each = np.where(x == 0, -10 * WITHIN, np.where(hit, 1, round(1 - 1 / CHANGED)))
+            return np.concatenate([np.zeros((len(x), 1), np.int64), np.cumsum(each, axis=1)], axis=1)
+
+        before, after = scores(q - steps, p - steps), scores(q + n - 1 + steps, p + n - 1 + steps)
+        after = np.maximum.accumulate(after[:, ::-1], axis=1)[:, ::-1]  # the best of so many words or more
+        least = FUZZY - n - np.arange(reach + 1)
+        best = np.take_along_axis(after, np.clip(least, 0, reach), axis=1)
+        out[at : at + 4000] = ((before + n + best >= 0) & (least <= reach)).any(1)
     return out
 
 
@@ -207,7 +226,7 @@ def search(documents: list[list[str]], items: Items) -> list[tuple]:
     document = np.searchsorted(bounds, place, side="right") - 1
     owner = items.owner[item]
     long_enough = length >= VERBATIM
-    candidates = long_enough | (_near_words(text, place, items, item) >= int(FUZZY * (1 - CHANGED)))
+    candidates = long_enough | _may_hold(text, place, items, item, length)
     found: dict[tuple[int, int], list] = {}
     for i in np.flatnonzero(candidates)[np.argsort(-length[candidates], kind="stable")]:
         key = (int(document[i]), int(owner[i]))
@@ -216,7 +235,7 @@ def search(documents: list[list[str]], items: Items) -> list[tuple]:
         d = key[0]
         end = bounds[d + 1] - 1 if d + 1 < len(bounds) else len(text) - 1
         n = int(length[i])
-        if n < VERBATIM and not aligned(text, int(bounds[d]), int(end), items, int(place[i]), int(item[i]), n, FUZZY - ANCHOR):
+        if n < VERBATIM and not aligned(text, int(bounds[d]), int(end), items, int(place[i]), int(item[i]), n, WITHIN - ANCHOR):
             continue
         passage = aligned(text, int(bounds[d]), int(end), items, int(place[i]), int(item[i]), n)
         words, changes = passage or (n, 0)
