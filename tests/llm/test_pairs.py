@@ -53,6 +53,35 @@ def test_defects(spark, field):
     assert pairs.defective_pairs(df.limit(0), field).count() == 0
 
 
+def aligned_anywhere(text):
+    got = pairs.words(text)
+    ts = [pairs.words(x) for x in pairs.REFUSALS]
+    return any(plain_lcs(t, got[i : i + len(t) + 2]) >= 0.8 * len(t) for t in ts for i in range(len(got)))
+
+
+def test_refusal_anywhere():
+    steps = "Dividing 500 by 5 leaves 100 whole groups and the 3 that are left go to the next box. " * 4
+    for text in ("No te puedo ayudar con esta petición.", "I am not going to answer.", "I have to refuse this request.", "Sorry, I can't\nhelp  with\n\nthis.", "I  must\ndecline  to solve this."):
+        assert pairs.is_refusal(text) and pairs.is_refusal(steps + text) and pairs.is_refusal(steps + text + " " + steps), text
+    assert not pairs.is_refusal(steps) and not any(map(pairs.is_refusal, GOOD))
+
+
+def test_refusals_are_brute_force():
+    rng = random.Random(4)
+    vocabulary = [w for x in pairs.REFUSALS for w in pairs.words(x)]
+    seen = set()
+    for _ in range(1500):
+        t = pairs.words(rng.choice(pairs.REFUSALS))
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(t))
+            t = rng.choice([t[:i] + t[i + 1 :], [*t[:i], "so", *t[i:]], [*t[:i], rng.choice(vocabulary), *t[i + 1 :]]]) or t
+        text = " ".join([*rng.choices(["step", "sum", "i", "no", "ich"], k=rng.randrange(60)), *t, *rng.choices(["box", "je", "this"], k=rng.randrange(20))])
+        want = aligned_anywhere(text)
+        assert pairs.is_refusal(text) == want, text
+        seen.add(want)
+    assert seen == {True, False}
+
+
 def test_question_of():
     assert pairs.question_of(PROMPT).endswith(QUESTION) and "sum is" not in pairs.question_of(PROMPT)
     assert pairs.question_of("Question:\nWhat is 2 + 3?\nFirst step.\nSecond step.") == "What is 2 + 3?"

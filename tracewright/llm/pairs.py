@@ -3,7 +3,7 @@
 ``empty``, ``refusal``, ``copies_question``, ``truncated`` and ``other_language``, the first that holds in this order. Copies are found by
 aligning the tokens of response and question: shingles of five words (all words of a shorter response) locate the copied stretch
 behind a short lead-in, 80 % of its shingles must stand in the question, and the longest common subsequence must cover 90 % of its
-words. Refusals are aligned with refusal templates by longest common subsequence. Cut-off responses come from the endings of
+words. Refusals are aligned with refusal templates by longest common subsequence, at every word of the response. Cut-off responses come from the endings of
 ``truncation``, languages from the word scores of ``language``.
 
 One pass over the pairs; only defective ones are shuffled. Facts about a question are kept while a task sees it again.
@@ -11,6 +11,7 @@ One pass over the pairs; only defective ones are shuffled. Facts about a questio
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,8 +40,14 @@ REFUSALS = [
     "no puedo ayudar con esta petición", "no puedo responder a esto", "no estoy autorizado a responder a esto", "no me es posible continuar aquí",
 ]
 _TEMPLATES = [words(x) for x in REFUSALS]
-#: Any response with a template aligned to 80 % holds one of these.
-_HINT = re.compile(r"(?i)can.?t |cannot|won.?t |able to|unable|decline|not possible|not allowed|will not|nicht (?:helfen|beantworten|möglich)|ne (?:peux|suis) pas|impossible|no puedo|no estoy|no me es")
+#: Words of each template that an alignment needs.
+_NEEDED = [math.ceil(REFUSAL_ALIGNED * len(t) - 1e-9) for t in _TEMPLATES]
+#: For each word the templates that hold it and how often, one counter of a byte per template; what makes a counter with enough words 128.
+_SHARED: dict[str, int] = {}
+for _k, _t in enumerate(_TEMPLATES):
+    for _w in _t:
+        _SHARED[_w] = _SHARED.get(_w, 0) + (1 << 8 * _k)
+_ENOUGH = sum((128 - n) << 8 * k for k, n in enumerate(_NEEDED))
 _CONTINUE = re.compile(r"\s*\n\nContinue with the next useful reasoning step:\s*\Z")
 
 
@@ -72,11 +79,22 @@ def question_of(prompt: str) -> str:
     return "\n\n".join([*context, "\n".join(lines[: asked + 1])])
 
 
+def refuses(got: list[str]) -> bool:
+    """Whether a template is aligned to 80 % with a stretch of at most two words more, anywhere in ``got``.
+
+    Only templates of which ``got`` holds enough words are aligned. A stretch may begin at its first aligned word, which is one of the
+    first of the template, as few are missing."""
+    held = _ENOUGH + sum(_SHARED.get(w, 0) for w in set(got))
+    for k, (t, needed) in enumerate(zip(_TEMPLATES, _NEEDED)):
+        if held >> 8 * k & 128:
+            first = t[: len(t) - needed + 1]
+            if any(got[i] in first and lcs(t, got[i : i + len(t) + 2]) >= needed for i in range(len(got) - needed + 1)):
+                return True
+    return False
+
+
 def is_refusal(text: str) -> bool:
-    if not _HINT.search(text):
-        return False
-    got = words(text)
-    return any(lcs(t, got[i : i + len(t) + 2]) >= REFUSAL_ALIGNED * len(t) for t in _TEMPLATES for i in range(max(1, min(len(got), 40) - len(t) + 2)) if got[i : i + 1] and got[i] in t[:2])
+    return refuses(words(text))
 
 
 class Question:
@@ -109,12 +127,12 @@ class Question:
 
 
 def text_defect(prompt: str | None, completion: str, tagger: Tagger, question) -> str | None:
-    if is_refusal(completion):
+    got = words(completion)
+    if refuses(got):
         return "refusal"
     if not prompt:
         return None
     asked = question(question_of(prompt))
-    got = words(completion)
     if asked.tokens and asked.copied(got):
         return "copies_question"
     spoken = [w for w in tokens(completion)[0]]
