@@ -66,6 +66,33 @@ def test_limits_by_encoding(spark):
     assert found["bytes"] == ("utf8_bytes", 60)
 
 
+def test_every_limit_is_kept(spark):
+    """Three limits in one source, one in a source of mostly complete values without full stop; one text told often is none."""
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgé&\n ") for _ in range(n - 2)).join("xz")
+    sizes = [*[("a", 200)] * 90, *[("a", 140)] * 40, *[("a", 150)] * 30, *[(None, 300)] * 20, *[("b", 120)] * 15]
+    sizes += [("a", rng.randrange(20, 100)) for _ in range(60)] + [(None, rng.randrange(20, 280)) for _ in range(600)]
+    rows = [(i, s, "f", text(n)) for i, (s, n) in enumerate(sizes)] + [(-1, None, "f", "no answer was given here and none will be " * 8)] * 20
+    df = spark.createDataFrame(rows, "id int, source string, field_name string, text string")
+    got = sorted((r.source or "", r.encoding, r.limit, r.values_at_limit) for r in X.hidden_limits(df).collect())
+    assert got == [("", "characters", 300, 20), ("a", "characters", 140, 40), ("a", "characters", 150, 30), ("a", "characters", 200, 90), ("b", "characters", 120, 15)]
+
+
+def test_values_at_every_limit_are_cut(spark):
+    rng = random.Random(2)
+    rows = []
+    for i, n in enumerate([70] * 60 + [46] * 30 + [None] * 300):
+        text = "".join(f"Box {rng.randrange(10, 99)} holds the blue cards. " for _ in range(5))
+        if n:  # the last words look complete: only the length tells
+            text = (text[: n - len(end)] + end) if (end := " the blue cards") else text
+        else:
+            text = text.strip() if i % 3 else text.strip()[:-1] + "s" * rng.randrange(1, 40)
+        rows.append((i, "s", "f", text))
+    df = spark.createDataFrame(rows, "id int, source string, field_name string, text string")
+    cut = {r.id: r.evidence for r in X.truncated(df).collect()}
+    assert all(i in cut for i in range(90)) and {"limit"} <= {cut[i] for i in range(60)} & {cut[i] for i in range(60, 90)}
+
+
 def test_lengths(spark):
     text = 'é"&\n😀'
     df = spark.createDataFrame([(text,)], "t string").select(*[c.alias(k) for k, c in X.lengths(F.col("t")).items()])

@@ -1,7 +1,8 @@
 """Text cut off by field limits.
 
 1. The length of every value is worked out anew under other encodings: UTF-8 bytes, UTF-16 units, HTML entities, JSON escapes,
-   ``\\r\\n`` line ends. Per source, field and encoding, values without a final full stop that pile up at one length show a hidden limit.
+   ``\\r\\n`` line ends. Per source, field and encoding, values without a final full stop that pile up at a length show a hidden limit;
+   a source and field can have several.
 2. Endings are inspected. Sentences that are followed by more text, or closed by a full stop, teach how sentences end: for the last
    one to three words (figures masked) how often a sentence ends there and how often it goes on. A value without a final full stop
    whose last words nearly always go on was cut; so was one with a cut mark, a broken character, or the length of a hidden limit.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -84,28 +86,51 @@ def open_values(values: DataFrame) -> DataFrame:
 
 
 def hidden_limits(values: DataFrame, least: int = 12, share: float = 0.12, peak: float = 5.0) -> DataFrame:
-    """Per source and field the length at which unfinished values pile up, and the encoding that shows it best.
-
-    ``values`` has source, field_name, text. A length is a limit if at least ``least`` values without a final full stop have it, they
-    are at least ``share`` of all such values of the source and field, and ``peak`` times the mean of the three lengths on either
-    side. A null source is a source of its own."""
+    """Per source and field every length at which unfinished values pile up, and the encoding that shows it best.
+
+    ``values`` has source, field_name, text. A length is a limit if at least ``least`` values without a final full stop have it, and
+    they are ``peak`` times the mean of the three lengths on either side. Complete values made alike pile up too, with others beside
+    them; so where they are less than ``share`` of all such values of the source and field, they must be ``least`` different texts
+    and ``peak`` times the largest of those six lengths. The limit with most values comes first; the others are looked for among the
+    values that are at none of those before, so the same values don't show a limit again under another encoding. A null source is a
+    source of its own."""
     return _limits(open_values(values), least, share, peak)
 
 
 def _limits(unfinished: DataFrame, least: int = 12, share: float = 0.12, peak: float = 5.0) -> DataFrame:
-    rank = {name: i for i, name in enumerate(lengths(F.lit("")))}
-    each = F.explode(F.array(*[F.struct(F.lit(name).alias("encoding"), n.alias("length")) for name, n in lengths(F.col("text")).items()]))
-    counts = unfinished.select("source", "field_name", each.alias("e")).groupBy("source", "field_name", F.col("e.encoding").alias("encoding"), F.col("e.length").alias("length")).agg(F.count("*").alias("n"))
+    names = list(lengths(F.lit("")))
+    sizes = unfinished.select("source", "field_name", F.xxhash64("text").alias("h"), *[n.alias(k) for k, n in lengths(F.col("text")).items()])
+    rest = checkpointed(sizes.groupBy("source", "field_name", "h", *names).agg(F.count("*").alias("n")))
     group = Window.partitionBy("source", "field_name", "encoding")
-    near = group.orderBy("length").rangeBetween(-3, 3)
-    peaks = (
-        counts.withColumn("all", F.sum("n").over(group))
-        .withColumn("around", (F.sum("n").over(near) - F.col("n")) / 6)
-        .where((F.col("n") >= least) & (F.col("n") >= share * F.col("all")) & (F.col("n") >= peak * F.col("around")))
-    )
-    order = F.coalesce(*[F.when(F.col("encoding") == k, F.lit(i)) for k, i in rank.items()])
+    near = group.orderBy("length")
+    others = [F.coalesce(F.max("n").over(near.rangeBetween(*side)), F.lit(0)) for side in ((-3, -1), (1, 3))]
+    around = (F.sum("n").over(near.rangeBetween(-3, 3)) - F.col("n")) / 6
+    wide = _counts(rest).withColumns({"all": F.sum("n").over(group), "around": around, "largest": F.greatest(*others)})
+    enough = (F.col("n") >= least) & (F.col("n") >= peak * F.col("around"))
+    enough &= (F.col("n") >= share * F.col("all")) | ((F.col("texts") >= least) & (F.col("n") >= peak * F.col("largest")))
+    peaks = checkpointed(wide.where(enough))
+    beside = peaks.select(F.col("source").alias("_s"), F.col("field_name").alias("_f"), F.col("encoding").alias("_e"), F.col("length").alias("_l"), "all", "around", "largest")
+    same_group = F.col("source").eqNullSafe(F.col("_s")) & (F.col("field_name") == F.col("_f"))
+    order = F.coalesce(*[F.when(F.col("encoding") == k, F.lit(i)) for i, k in enumerate(names)])
     best = F.max_by(F.struct("encoding", "length", "n"), F.struct("n", -order))
-    return peaks.groupBy("source", "field_name").agg(best.alias("b")).select("source", "field_name", "b.encoding", F.col("b.length").alias("limit"), F.col("b.n").alias("values_at_limit"))
+    rounds = []
+    while True:
+        found = peaks.groupBy("source", "field_name").agg(best.alias("b")).select("source", "field_name", "b.encoding", F.col("b.length").alias("limit"), F.col("b.n").alias("values_at_limit"))
+        rounds.append(checkpointed(found))
+        if rounds[-1].isEmpty():
+            return reduce(DataFrame.unionByName, rounds[:-1] or rounds)
+        had = rounds[-1].select(F.col("source").alias("_s"), F.col("field_name").alias("_f"), F.col("encoding").alias("_encoding"), F.col("limit").alias("_limit"))
+        at = F.element_at(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*names)), F.col("_encoding"))
+        rest = checkpointed(rest.join(had, same_group).where(at != F.col("_limit")).select("source", "field_name", *names, "n"))
+        again = _counts(rest).join(beside, same_group & (F.col("encoding") == F.col("_e")) & (F.col("length") == F.col("_l")))
+        peaks = checkpointed(again.where(enough).select("source", "field_name", "encoding", "length", "n"))
+
+
+def _counts(sizes: DataFrame) -> DataFrame:
+    """Values and different texts of every length; ``sizes`` has the lengths and number of each text."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("encoding"), F.col(k).alias("length")) for k in lengths(F.lit(""))]))
+    counts = sizes.select("source", "field_name", "n", each.alias("e")).groupBy("source", "field_name", F.col("e.encoding").alias("encoding"), F.col("e.length").alias("length"))
+    return counts.agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
 
 
 def masked(text: Column) -> Column:
@@ -222,11 +247,11 @@ def truncated(values: DataFrame, statistics_from: DataFrame | None = None) -> Da
     verdicts = open_verdicts(sentences)
     names = [c for c in values.columns if c != "evidence"]
     unfinished = checkpointed(open_values(values).select(*names, _tail(F.col("_v")).rlike(CUT_MARK).alias("_marked"), F.try_element_at(_pieces(masked(F.col("_v"))), F.lit(-1)).alias("_piece")))
-    limits = _limits(unfinished).select(F.col("source").alias("_s"), F.col("field_name").alias("_f"), F.col("encoding").alias("_encoding"), F.col("limit").alias("_limit"))
+    limits = _limits(unfinished).groupBy(F.col("source").alias("_s"), F.col("field_name").alias("_f")).agg(F.collect_list(F.struct("encoding", "limit")).alias("_limits"))
     verdicts = verdicts.select(F.col("piece").alias("_piece"), F.col("unfinished").alias("_unfinished"))
     encoded = F.map_from_arrays(F.array(*[F.lit(k) for k in lengths(F.lit(""))]), F.array(*lengths(F.col("text")).values()))
     joined = unfinished.join(verdicts, "_piece", "left").join(limits, F.col("source").eqNullSafe(F.col("_s")) & (F.col("field_name") == F.col("_f")), "left")
-    at_limit = F.coalesce(F.element_at(encoded, F.col("_encoding")) == F.col("_limit"), F.lit(False))
+    at_limit = F.coalesce(F.exists("_limits", lambda x: F.element_at(encoded, x["encoding"]) == x["limit"]), F.lit(False))
     evidence = F.when(F.col("_marked"), "mark").when(F.coalesce("_unfinished", F.lit(False)), "ending").when(at_limit, "limit")
     return joined.withColumn("evidence", evidence).where(F.col("evidence").isNotNull()).select(*names, "evidence")
 
