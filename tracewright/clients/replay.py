@@ -6,6 +6,9 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 
 @dataclass(frozen=True)
 class FixedSpanJudge:
@@ -21,9 +24,21 @@ class FixedSpanJudge:
 
 @dataclass(frozen=True)
 class StoredTraces:
-    """Answers from a small dict keyed by (question_id, depth, attempt). For tests: a stored corpus is replayed by ``plans.replay``."""
+    """Answers from a small dict keyed by (question_id, depth, attempt). For tests: a stored corpus is a ``StoredAnswers``."""
 
     traces: dict[tuple, str]
 
     def __call__(self) -> Callable[[dict], str | None]:
         return lambda row: self.traces.get((row["question_id"], row["depth"], row["attempt"]))
+
+
+@dataclass(frozen=True)
+class StoredAnswers:
+    """Answers from a table of any size, by a join on question_id, depth and attempt; without a stored answer the answer is null."""
+
+    table: DataFrame
+    answer: str
+
+    def answers(self, asked: DataFrame, out: str) -> DataFrame:
+        key = ["question_id", "depth", "attempt"]
+        return asked.join(self.table.select(*key, F.col(self.answer).alias(out)), key, "left").select(*asked.columns, out)

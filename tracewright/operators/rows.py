@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions.text import stable_row_id, strip
+from tracewright.functions.wire import LOCAL_ONLY, SETTING_NAMES
 
 # --- fixed value: how a training prompt ends ---
 CONTINUE = "\n\nContinue with the next useful reasoning step:"
@@ -118,24 +119,9 @@ def mark_removed_units(units: Column, start: Column, end: Column) -> Column:
 
 def camelize_config(config: Column) -> Column:
     """Generation settings as the REST service names them; local-only keys and nulls are left out."""
-    # --- fixed values: setting names of the service, and keys it must not see ---
-    names = {
-        "max_output_tokens": "maxOutputTokens",
-        "top_p": "topP",
-        "top_k": "topK",
-        "response_mime_type": "responseMimeType",
-        "response_json_schema": "responseJsonSchema",
-    }
-    local = ["prompt_version", "conservative", "require_following_step"]
-    kept = F.map_filter(config, lambda k, v: ~k.isin(local) & v.isNotNull())
-
-    def renamed(key: Column) -> Column:
-        out = key
-        for old, new in names.items():
-            out = F.when(key == old, new).otherwise(out)
-        return out
-
-    return F.transform_keys(kept, lambda k, v: renamed(k))
+    names = F.create_map(*[F.lit(x) for pair in SETTING_NAMES.items() for x in pair])
+    kept = F.map_filter(config, lambda k, v: ~k.isin(LOCAL_ONLY) & v.isNotNull())
+    return F.transform_keys(kept, lambda k, v: F.coalesce(names[k], k))
 
 
 REPLY_DDL = "candidates ARRAY<STRUCT<content STRUCT<parts ARRAY<STRUCT<text STRING>>>>>"
