@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass, field, fields, replace
@@ -14,6 +15,7 @@ import yaml
 
 @dataclass(frozen=True)
 class BuildConfig:
+    # --- fixed values: field names and defaults of the settings files ---
     round_id: str
     source_dataset: str
     hub_dataset_id: str
@@ -35,10 +37,13 @@ class BuildConfig:
     unit_split_strategy: str = "numbered_or_lines"
     max_retries_per_depth: int = 2
     max_units_per_batch: int = 2
+    # --- settings of this engine ---
+    parallel_tasks: int | None = None  # tasks that call models at the same time; none: as many as the session has shuffle partitions
+    calls_per_task: int = 8  # calls a task has under way, where its client allows it
 
     def __post_init__(self) -> None:
-        for name, least in {"max_retries_per_depth": 1, "max_units_per_batch": 2}.items():
-            if getattr(self, name) < least:
+        for name, least in {"max_retries_per_depth": 1, "max_units_per_batch": 2, "parallel_tasks": 1, "calls_per_task": 1}.items():
+            if getattr(self, name) is not None and getattr(self, name) < least:
                 raise ValueError(f"{name} must be at least {least}")
         if self.max_units_per_batch < 3:
             warnings.warn("an attempt needs three units, so max_units_per_batch < 3 gives no rows", stacklevel=3)
@@ -51,6 +56,7 @@ class BuildConfig:
 
 @dataclass(frozen=True)
 class TrainConfig:
+    # --- fixed values: field names and defaults of the settings files ---
     base_model: str
     hub_model_id: str
     hub_dataset_id: str
@@ -94,6 +100,13 @@ def _from_mapping(kind: type, raw: Mapping[str, Any], required: tuple[str, ...])
     return kind(**values)
 
 
+#: Settings for a run without a settings file: each must come from the environment where it matters.
+FALLBACK = {
+    "round_id": "local", "source_dataset": "-", "hub_dataset_id": "out", "generator": {"model_id": "-"}, "decision": {"model_id": "-"},
+    "source_questions_path": "questions.txt", "max_units_per_batch": 6,
+}
+
+
 def _yaml(path: str | Path) -> dict[str, Any]:
     return yaml.safe_load(Path(path).read_text()) or {}
 
@@ -136,7 +149,7 @@ def override_from_environment(config: BuildConfig, environment: Mapping[str, str
     for name in ("round_id", "source_type", "source_dataset", "source_dataset_revision", "source_split", "source_question_field", "hub_dataset_id"):
         if name.upper() in env:
             changes[name] = env[name.upper()]
-    for name in ("max_pruning_depth", "max_examples_per_question", "max_retries_per_depth", "max_units_per_batch"):
+    for name in ("max_pruning_depth", "max_examples_per_question", "max_retries_per_depth", "max_units_per_batch", "parallel_tasks", "calls_per_task"):
         if name.upper() in env:
             changes[name] = int(env[name.upper()])
     if "SOURCE_SUBSET" in env:
@@ -152,12 +165,24 @@ def override_from_environment(config: BuildConfig, environment: Mapping[str, str
     return replace(config, **changes)
 
 
+#: A setting of an environment file: a name, perhaps exported, and a value in double quotes (with escapes), in single quotes, or bare.
+_SETTING = re.compile(
+    r"""^\s*(?:export\s+)?(?P<name>[^\s=#'"]+)\s*=\s*(?:"(?P<escaped>(?:[^"\\]|\\.)*)"\s*(?:\#.*)?|'(?P<literal>[^']*)'\s*(?:\#.*)?|(?P<bare>.*?))\s*$""",
+    re.VERBOSE,
+)
+_ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
+
+
 def load_env_file(path: str | Path, environment: dict[str, str] | None = None) -> None:
-    """``KEY=value`` lines; comments and other lines are skipped, quotes and ``export`` dropped, set keys never changed."""
+    """Settings of an environment file that aren't set yet; a file that isn't there has none.
+
+    Lines that set nothing are passed over. Behind a quoted value there may be a comment; a bare value goes to the end of its line."""
     env = os.environ if environment is None else environment
-    file = Path(path)
-    for line in file.read_text().splitlines() if file.exists() else ():
-        key, given, value = line.strip().partition("=")
-        key = key.strip().removeprefix("export ").strip()
-        if given and key and not key.startswith("#"):
-            env.setdefault(key, value.strip().strip('"').strip("'"))
+    if not Path(path).is_file():
+        return
+    for found in filter(None, map(_SETTING.match, Path(path).read_text().splitlines())):
+        value = next(x for x in (found["literal"], found["bare"], found["escaped"]) if x is not None)
+        if found["escaped"] is not None:
+            value = re.sub(r"\\(.)", lambda m: _ESCAPES.get(m[1], m[1]), value)
+        if found["name"] not in env:
+            env[found["name"]] = value

@@ -8,6 +8,7 @@ questions. Model answers are checkpointed at once, so a lost executor or a secon
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import pandas as pd
@@ -18,46 +19,55 @@ from tracewright.functions.decision import parse_decision, unit_count_gate, vali
 from tracewright.functions.text import split_units
 from tracewright.operators.rows import CANONICAL_DDL, advance_context, format_context, numbered, transition_rows
 from tracewright.plans.config import BuildConfig
+from tracewright.plans.replay import LOG_DDL, logged
 from tracewright.runtime import checkpointed
 
-#: Per partition: a function from one row's fields to a text.
+#: Per task: a function from one row's fields to a text. One with ``concurrent`` set may be called from several threads at once.
+#: A client with a method ``answers(rows, out)`` gives all answers as a table instead.
 ClientFactory = Callable[[], Callable[[dict], str | None]]
 
 
-def ask(df: DataFrame, client: ClientFactory, fields: list[str], out: str) -> DataFrame:
-    """``df`` with the client's answer per row. One client per task; answers are written to the shared folder at once."""
+def ask(df: DataFrame, client: ClientFactory, fields: list[str], out: str, calls: int = 1) -> DataFrame:
+    """``df`` with the client's answer per row; answers are written to the shared folder at once. One client per task, with ``calls``
+    calls under way where it is ``concurrent``."""
+    if hasattr(client, "answers"):
+        return checkpointed(client.answers(df, out))
+    side_by_side = calls if getattr(client, "concurrent", False) else 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         answer = client()
-        for batch in batches:
-            rows = batch[fields].to_dict("records")
-            yield batch.assign(**{out: pd.Series([answer(r) for r in rows], index=batch.index, dtype=object)})
+        with ThreadPoolExecutor(side_by_side) as pool:
+            for batch in batches:
+                rows = batch[fields].to_dict("records")
+                got = list(pool.map(answer, rows) if side_by_side > 1 else map(answer, rows))
+                yield batch.assign(**{out: pd.Series(got, index=batch.index, dtype=object)})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", {out} string"
     return checkpointed(df.mapInPandas(run, schema))
 
 
-def build_rows(questions: DataFrame, generator: ClientFactory, judge: ClientFactory, config: BuildConfig, revision: str | None = None, parallel_calls: int = 8, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Canonical rows (with question_id) and the audit of all attempts.
+def build_rows(questions: DataFrame, generator: ClientFactory, judge: ClientFactory, config: BuildConfig, revision: str | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Canonical rows (with question_id) and the log of all attempts, with the columns of ``plans.replay.audit``.
 
     ``questions`` has question_id and question; ``generator`` sees question_id, depth, attempt, context; ``judge`` sees those and
     question, trace and the numbered units."""
     spark = questions.sparkSession
+    tasks = config.parallel_tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     frontier = questions.select("question_id", "question", F.array().cast("array<string>").alias("accepted"))
     rows, log = [], []
     for depth in range(config.depths):
-        pending = checkpointed(frontier.withColumn("depth", F.lit(depth)).withColumn("context", format_context(F.col("question"), F.col("accepted"))).repartition(parallel_calls, "question_id"))
+        pending = checkpointed(frontier.withColumn("depth", F.lit(depth)).withColumn("context", format_context(F.col("question"), F.col("accepted"))).repartition(tasks, "question_id"))
         won = []
         for attempt in range(1, config.max_retries_per_depth + 1):
-            asked = ask(pending.withColumn("attempt", F.lit(attempt)), generator, ["question_id", "depth", "attempt", "context"], "trace")
+            asked = ask(pending.withColumn("attempt", F.lit(attempt)), generator, ["question_id", "depth", "attempt", "context"], "trace", config.calls_per_task)
             split = asked.withColumn("units", split_units(F.col("trace"), config.unit_split_strategy)).withColumn("reached", unit_count_gate(F.col("units"), config.max_units_per_batch))
             split = split.withColumn("listed", numbered(F.col("units")))
-            judged = ask(split.where("reached"), judge, ["question_id", "question", "depth", "attempt", "context", "trace", "listed"], "reply")
+            judged = ask(split.where("reached"), judge, ["question_id", "question", "depth", "attempt", "context", "trace", "listed"], "reply", config.calls_per_task)
             tried = checkpointed(judged.withColumn("decision", parse_decision(F.col("reply"), strict)).withColumn("ok", valid_for(F.col("decision"), F.col("units"))))
-            log += [
-                split.where("not reached").select("question_id", "depth", "attempt", "trace", F.lit("rejected_unit_count").alias("status")),
-                tried.select("question_id", "depth", "attempt", "trace", F.when(F.col("ok"), "accepted").otherwise("rejected_no_span").alias("status")),
-            ]
+            last = F.lit(attempt == config.max_retries_per_depth)
+            short = split.where("not reached").withColumns({"decision": F.lit(None).cast(tried.schema["decision"].dataType), "status": F.lit("rejected_unit_count"), "stopped": last})
+            seen = tried.withColumns({"status": F.when(F.col("ok"), "accepted").otherwise("rejected_no_span"), "stopped": last & ~F.col("ok")})
+            log += [logged(x, config) for x in (short, seen)]
             won.append(tried.where("ok"))
             if attempt < config.max_retries_per_depth:
                 pending = checkpointed(pending.join(won[-1].select("question_id"), "question_id", "left_anti"))
@@ -71,5 +81,5 @@ def build_rows(questions: DataFrame, generator: ClientFactory, judge: ClientFact
             break
     kind = questions.schema["question_id"].dataType.simpleString()
     empty = spark.createDataFrame([], f"question_id {kind}, {CANONICAL_DDL}")
-    nothing = spark.createDataFrame([], f"question_id {kind}, depth int, attempt int, trace string, status string")
+    nothing = spark.createDataFrame([], f"question_id {kind}, {LOG_DDL}")
     return reduce(DataFrame.unionByName, rows, empty), reduce(DataFrame.unionByName, log, nothing)

@@ -1,4 +1,4 @@
-"""Session defaults and durable lineage cuts."""
+"""Session defaults, paths of any file system, and durable lineage cuts."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import os
 import tempfile
 import zipfile
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +42,17 @@ def ship(spark: SparkSession) -> None:
     context._tracewright_shipped = True
 
 
+def store(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    """The file system that holds ``path``, and the path, as Hadoop knows them: local, remote or a bucket."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = store(spark, path)
+    return files.exists(where)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -61,3 +73,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the shared folder and cut its lineage; survives the loss of executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete what ``checkpointed`` wrote for ``tables``. Only for tables that nothing will read again, not even after a lost executor:
+    whatever was made from them must be checkpointed itself."""
+    for df in tables:
+        plan = df._jdf.queryExecution().analyzed()
+        if plan.getClass().getSimpleName() != "LogicalRDD":
+            raise ValueError("not a checkpointed table")
+        file = plan.rdd().getCheckpointFile()
+        if file.isDefined():
+            files, where = store(df.sparkSession, file.get())
+            files.delete(where, True)
