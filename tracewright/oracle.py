@@ -73,9 +73,9 @@ def context(q: str, units: str) -> str:
 BODY = f"""concat_ws(chr(10) || chr(10), nullif({strip('context')}, ''), {strip("coalesce(question, 'None')")},
  CASE WHEN len(choices) > 0 THEN 'Options:' || chr(10) || array_to_string(list_transform(choices, lambda c: '(' || coalesce(c.label, 'None') || ') ' || coalesce(c.text, 'None')), chr(10)) END)"""
 
-ATTEMPTS = f"""t AS (SELECT run_no, question, generated_trace AS trace, row_number() OVER (PARTITION BY run_no ORDER BY pruning_depth, row_no) - 1 AS n FROM transitions),
-a AS (SELECT run_no AS question_id, (n // 2)::INT AS depth, (n % 2 + 1)::INT AS attempt, question, trace, {split_numbered('trace')} AS units, (run_no % 2)::INT AS s, (run_no % 2 * 3)::INT AS e FROM t WHERE n < 4),
-j AS (SELECT *, CASE WHEN NOT coalesce(len(units) BETWEEN 3 AND 6, false) THEN 'rejected_unit_count' WHEN e + 1 >= len(units) THEN 'rejected_no_span' ELSE 'accepted' END AS status FROM a),
+ATTEMPTS = f"""t AS (SELECT run_no, first_value(question) OVER (PARTITION BY run_no ORDER BY pruning_depth, row_no) AS question, generated_trace AS trace, row_number() OVER (PARTITION BY run_no ORDER BY pruning_depth, row_no) - 1 AS n FROM transitions),
+a AS (SELECT run_no AS question_id, (n // 2)::INT AS depth, (n % 2 + 1)::INT AS attempt, question, trace, {split_numbered('trace')} AS units, (run_no % 2)::INT AS s, (run_no % 2 * 3)::INT AS e FROM t),
+j AS (SELECT *, CASE WHEN NOT coalesce(len(units) BETWEEN 3 AND 6, false) THEN 'rejected_unit_count' WHEN e + 1 >= len(units) THEN 'rejected_no_span' ELSE 'accepted' END AS status FROM a WHERE depth < 2 AND attempt <= 2),
 w AS (SELECT * FROM j WHERE status = 'accepted' QUALIFY row_number() OVER (PARTITION BY question_id, depth ORDER BY attempt) = 1)"""
 
 REPLAY = f"""{ATTEMPTS},
@@ -84,6 +84,12 @@ r AS (SELECT *, first_value(question) OVER (PARTITION BY question_id ORDER BY de
 c AS (SELECT question_id, q AS question, {context('q', 'accepted')} AS ctx, trace, units, depth, attempt, s, e FROM r WHERE k = depth)"""
 
 
+LOG = f"""WITH {ATTEMPTS}, h AS (SELECT question_id, depth, list_concat(units[1:s], [units[e + 2]]) AS d FROM w),
+o AS (SELECT j.*, (SELECT flatten(list(h.d ORDER BY h.depth)) FROM h WHERE h.question_id = j.question_id AND h.depth < j.depth) AS got, (SELECT min(attempt) FROM w WHERE w.question_id = j.question_id AND w.depth = j.depth) AS won,
+  (SELECT count(*) FROM w WHERE w.question_id = j.question_id AND w.depth < j.depth) AS done, (SELECT max(attempt) FROM j AS k WHERE k.question_id = j.question_id AND k.depth = j.depth) AS last FROM j),
+x AS (SELECT *, {context('question', 'coalesce(got, [])')} AS context, won IS NULL AND attempt = last AS stopped FROM o WHERE done = depth AND (won IS NULL OR attempt <= won))"""
+
+
 def flat(source: str, round_id: str, key: str = "question_id") -> str:
     return f"""SELECT {key} AS question_id, {row_id(round_id, 'question', 'depth', 's', 'e')} AS id, question, ctx AS context_before_generation, trace AS generated_trace,
  array_to_string(units, '|') AS generated_units, ctx || CASE WHEN s > 0 THEN chr(10) || array_to_string(units[1:s], chr(10)) ELSE '' END AS input_x, units[e + 2] AS target_y,
@@ -135,14 +141,14 @@ ORACLE: dict[str, str] = {
     "prompt_completion": f"WITH {DIRECT} SELECT question_id, input_x {CONTINUED} AS prompt, target_y AS completion FROM ({flat('d', 'round_id')})",
     "stable_row_id": f"SELECT row_no, {row_id('round_id', 'question', 'pruning_depth', 'metadata.removed_start_index', 'metadata.removed_end_index')} AS made_id FROM transitions",
     "broken_targets": "SELECT row_no, target_y, generated_units[metadata.removed_end_index + 2] AS expected_target FROM transitions WHERE generated_units IS NOT NULL AND target_y IS DISTINCT FROM generated_units[metadata.removed_end_index + 2]",
-    "depth_gaps": "SELECT run_no, count(DISTINCT pruning_depth) AS depths, max(pruning_depth) AS deepest FROM transitions GROUP BY run_no HAVING count(DISTINCT pruning_depth) <> max(pruning_depth) + 1",
+    "depth_gaps": "SELECT run_no, count(DISTINCT pruning_depth) AS depths, max(pruning_depth) AS deepest FROM transitions WHERE generated_trace IS NOT NULL AND length(target_y) > 0 GROUP BY run_no HAVING count(DISTINCT pruning_depth) <> max(pruning_depth) + 1",
     "first_valid_attempt": f"WITH {ATTEMPTS} SELECT question_id, depth, attempt, trace, len(units)::INT AS n_units FROM w",
     "replay_rows": f"WITH {REPLAY} {flat('c', repr('r-test'))}",
     "training_rows": f"WITH {REPLAY} SELECT question_id, pruning_depth, input_x {CONTINUED} AS prompt, target_y AS completion FROM ({flat('c', repr('r-test'))})",
-    "context_invariant": f"""WITH {REPLAY}, f AS ({flat('c', repr('r-test'))}), n AS (SELECT *, lead(context_before_generation) OVER (PARTITION BY question_id ORDER BY pruning_depth) AS next_context FROM f)
- SELECT question_id, pruning_depth, next_context FROM n WHERE next_context IS NOT NULL AND next_context <> input_x || chr(10) || target_y""",
-    "audit_status": f"""WITH {ATTEMPTS}, o AS (SELECT j.*, (SELECT min(attempt) FROM w WHERE w.question_id = j.question_id AND w.depth = j.depth) AS won, (SELECT count(*) FROM w WHERE w.question_id = j.question_id AND w.depth < j.depth) AS done FROM j)
- SELECT question_id, depth, attempt, status, len(units)::INT AS n_units FROM o WHERE done = depth AND (won IS NULL OR attempt <= won)""",
+    "context_invariant": """WITH n AS (SELECT *, lead(context_before_generation) OVER (PARTITION BY run_no ORDER BY pruning_depth, row_no) AS next_context FROM transitions)
+ SELECT run_no, pruning_depth, row_no, next_context FROM n WHERE next_context IS NOT NULL AND next_context IS DISTINCT FROM input_x || chr(10) || target_y""",
+    "audit_status": f"""{LOG} SELECT question_id, depth, attempt, status, coalesce(len(units), -1)::INT AS n_units, context, CASE WHEN status = 'accepted' THEN {row_id(repr('r-test'), 'question', 'depth', 's', 'e')} END AS row_id,
+ CASE WHEN status = 'accepted' THEN context || coalesce(chr(10) || nullif(array_to_string(units[1:s], chr(10)), ''), '') || chr(10) || units[e + 2] END AS next_context, stopped FROM x""",
     "mark_removed_units": "SELECT row_no, array_to_string(list_transform(generated_units, lambda u, i: CASE WHEN i - 1 BETWEEN metadata.removed_start_index AND metadata.removed_end_index THEN '  ✗' ELSE '   ' END || ' ' || (i - 1) || ': ' || u), chr(10)) AS shown FROM transitions",
     "model_card": """WITH m AS (SELECT round_id, string_agg('- rows_at_' || pruning_depth || ': ' || n, chr(10) ORDER BY pruning_depth) AS listed FROM (SELECT round_id, pruning_depth, count(*) AS n FROM transitions GROUP BY ALL) GROUP BY round_id)
  SELECT round_id, '# ' || round_id || chr(10) || chr(10) || '## Lineage' || chr(10) || chr(10) || '- parent_model_id: ' || generator_model || chr(10) || '- data_revision: ' || coalesce(generator_model_revision, 'None') || chr(10) || '- judge: ' || decision_model
@@ -157,4 +163,24 @@ SELECT pruning_depth, count(*) AS n_rows, count(*) FILTER (WHERE NOT coalesce(u[
  count(*) FILTER (WHERE NOT coalesce(ok AND context_before_generation || CASE WHEN s > 0 THEN chr(10) || array_to_string(u[1:s], chr(10)) ELSE '' END = input_x, false)) AS bad_input,
  count(*) FILTER (WHERE v IS DISTINCT FROM u) AS bad_units FROM b GROUP BY pruning_depth"""
 ORACLE["round_summary"] = f"SELECT depth, status, count(*) AS attempts, count(DISTINCT question_id) AS questions FROM ({ORACLE['audit_status']}) GROUP BY ALL"
-ORACLE["frontier_loop"] = ORACLE["replay_rows"].replace("(run_no % 2)::INT AS s, (run_no % 2 * 3)::INT AS e", "0 AS s, 0 AS e")
+ORACLE["frontier_loop"] = ORACLE["replay_rows"]
+#: A live loop also asks where no answer is stored.
+ORACLE["frontier_log"] = ORACLE["audit_status"].replace("j AS (SELECT *, CASE", """g AS (SELECT q.question_id, d.depth, n.attempt, q.question, a.trace, a.units, q.s, q.e FROM (SELECT DISTINCT question_id, question, s, e FROM a) AS q
+ CROSS JOIN (VALUES (0), (1)) AS d(depth) CROSS JOIN (VALUES (1), (2)) AS n(attempt) LEFT JOIN a ON a.question_id = q.question_id AND a.depth = d.depth AND a.attempt = n.attempt),
+j AS (SELECT *, CASE""").replace("AS status FROM a WHERE", "AS status FROM g WHERE")
+
+
+def _part(name: str, body: str) -> str:
+    return f"'{name}:' || chr(10) || coalesce(nullif({body}, ''), '-')"
+
+
+_DECISION = "'removal true, units ' || s || ' to ' || e || ', goes on true, because: filler'"
+_MARKED = "array_to_string(list_transform(units, lambda u, i: CASE WHEN i - 1 BETWEEN s AND e THEN '  ✗' ELSE '   ' END || ' ' || (i - 1) || ': ' || u), chr(10))"
+_NUMBERED = "array_to_string(list_transform(units, lambda u, i: (i - 1) || ': ' || u), chr(10))"
+_NEXT = "context || coalesce(chr(10) || nullif(array_to_string(units[1:s], chr(10)), ''), '') || chr(10) || units[e + 2]"
+ORACLE["stage_report"] = f"""{LOG}, y AS (SELECT *, status = 'accepted' AS ok, {row_id(repr('r-test'), 'question', 'depth', 's', 'e')} AS made FROM x)
+SELECT question_id, depth, attempt, concat_ws(chr(10), '== depth ' || depth || ', attempt ' || attempt || ' ==', {_part('question', 'question')}, {_part('context', 'context')}, {_part('trace', 'trace')},
+ {_part('units', f'CASE WHEN ok THEN {_MARKED} ELSE {_NUMBERED} END')}, {_part('decision', _DECISION)},
+ 'outcome: ' || CASE status WHEN 'rejected_unit_count' THEN 'rejected: it has ' || coalesce(len(units)::VARCHAR, '-') || ' units' WHEN 'rejected_no_span' THEN 'rejected: no span that can go with a unit behind it' ELSE 'accepted as row ' || made END,
+ CASE WHEN ok THEN {_part('target', 'units[e + 2]')} END, CASE WHEN ok THEN {_part('next context', _NEXT)} END,
+ CASE WHEN stopped THEN 'no attempt left: the question stops at this depth' END) AS report FROM y"""

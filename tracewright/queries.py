@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracewright.clients.replay import FixedSpanJudge
+from tracewright.clients.replay import StoredAnswers
 from tracewright.functions import text as T
 from tracewright.functions.decision import decision_valid, parse_decision, unit_count_gate
 from tracewright.operators import rows as R
@@ -16,6 +16,8 @@ from tracewright.operators.checks import broken_targets, depth_gaps, row_contrac
 from tracewright.plans import replay as P
 from tracewright.plans.config import BuildConfig
 from tracewright.plans.live import build_rows
+from tracewright.runtime import checkpointed
+from tracewright.sinks.publish import stage_report
 from tracewright.sources import questions as S
 
 CONFIG = BuildConfig(
@@ -36,14 +38,15 @@ def _decision(start: Column, end: Column) -> Column:
     )
 
 
-def attempts(spark: SparkSession, sf: str, spans: bool = True) -> DataFrame:
-    """Stored attempts: a run's traces in order, two attempts a depth; even runs lose unit 0, odd ones units 1 to 3."""
-    place = F.row_number().over(Window.partitionBy("run_no").orderBy("pruning_depth", "row_no")) - 1
-    odd = F.pmod("run_no", F.lit(2)) if spans else F.lit(0)
+def attempts(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored attempts: a run's traces in order, two attempts a depth, with the run's first question; even runs lose unit 0, odd ones
+    units 1 to 3."""
+    in_run = Window.partitionBy("run_no").orderBy("pruning_depth", "row_no")
+    place = F.row_number().over(in_run) - 1
+    odd = F.pmod("run_no", F.lit(2))
     return (
         _read(spark, sf, "transitions")
-        .select("run_no", "question", F.col("generated_trace").alias("trace"), place.alias("n"))
-        .where("n < 4")
+        .select("run_no", F.first("question").over(in_run).alias("question"), F.col("generated_trace").alias("trace"), place.alias("n"))
         .select(
             F.col("run_no").alias("question_id"), F.floor(F.col("n") / 2).cast("int").alias("depth"), (F.col("n") % 2 + 1).alias("attempt"),
             "question", "trace", _decision(odd, odd * 3).alias("decision"),
@@ -182,7 +185,8 @@ def broken_targets_query(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def depth_gaps_query(spark: SparkSession, sf: str) -> DataFrame:
-    return depth_gaps(_read(spark, sf, "transitions"), "run_no")
+    """Runs that lack a depth once the rows without a trace or a target are left out."""
+    return depth_gaps(_read(spark, sf, "transitions").where("generated_trace IS NOT NULL AND target_y <> ''"), "run_no")
 
 
 def row_contract_query(spark: SparkSession, sf: str) -> DataFrame:
@@ -206,11 +210,23 @@ def training_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def context_invariant(spark: SparkSession, sf: str) -> DataFrame:
-    return P.context_breaks(P.replay_rows(attempts(spark, sf), CONFIG)).select("question_id", "pruning_depth", "next_context")
+    """Stored rows whose successor in the run doesn't go on from their target: rows delivered twice show here."""
+    stored = _read(spark, sf, "transitions")
+    return P.context_breaks(stored, "run_no", "pruning_depth", "row_no").select("run_no", "pruning_depth", "row_no", "next_context")
 
 
 def audit_status(spark: SparkSession, sf: str) -> DataFrame:
-    return P.audit(attempts(spark, sf), CONFIG).select("question_id", "depth", "attempt", "status", F.size("units").alias("n_units"))
+    """The log of the replay; question, trace and units are in other queries."""
+    return _log(P.audit(attempts(spark, sf), CONFIG))
+
+
+def _log(log: DataFrame) -> DataFrame:
+    return log.select("question_id", "depth", "attempt", "status", F.coalesce(F.size("units"), F.lit(-1)).alias("n_units"), "context", "row_id", "next_context", "stopped")
+
+
+def stage_report_query(spark: SparkSession, sf: str) -> DataFrame:
+    """A readable account of every attempt."""
+    return P.audit(attempts(spark, sf), CONFIG).select("question_id", "depth", "attempt", stage_report().alias("report"))
 
 
 def round_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -247,20 +263,20 @@ def error_message(spark: SparkSession, sf: str) -> DataFrame:
     return _read(spark, sf, "documents").select("doc_id", R.error_message(detail).alias("message"))
 
 
-def frontier_loop(spark: SparkSession, sf: str) -> DataFrame:
-    """The live loop over every run; the generator stage answers from the frontier's own rows, as stored answers would."""
-    stored = attempts(spark, sf, spans=False)
-    first = stored.groupBy("question_id").agg(F.min_by("question", F.struct("depth", "attempt")).alias("question"))
-    traces = stored.groupBy("question_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("/", "depth", "attempt"), "trace"))).alias("traces"))
-    asked = first.join(traces, "question_id")
-    rows, _ = build_rows(asked.select(F.struct("question_id", F.to_json("traces").alias("t")).alias("question_id"), "question"), _answer_stored, FixedSpanJudge(), CONFIG)
-    return _flat(rows.withColumn("question_id", F.col("question_id.question_id")))
+def _live(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The live loop over every run, its models played by the stored attempts: traces for the generator, decisions for the judge."""
+    stored = checkpointed(attempts(spark, sf).withColumn("reply", F.to_json("decision")))
+    asked = stored.groupBy("question_id").agg(F.min_by("question", F.struct("depth", "attempt")).alias("question"))
+    return build_rows(asked, StoredAnswers(stored, "trace"), StoredAnswers(stored, "reply"), CONFIG)
+
 
+def frontier_loop(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(_live(spark, sf)[0])
 
-def _answer_stored() -> Callable[[dict], str | None]:
-    import json
 
-    return lambda row: json.loads(row["question_id"]["t"]).get(f"{row['depth']}/{row['attempt']}")
+def frontier_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Every attempt of the live loop: too few or many units, refused by the judge, accepted, given up."""
+    return _log(_live(spark, sf)[1])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -299,4 +315,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "extract_reply_text": extract_reply_text,
     "error_message": error_message,
     "frontier_loop": frontier_loop,
+    "frontier_log": frontier_log,
+    "stage_report": stage_report_query,
 }

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
-from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from tracewright.functions.text import lines, strip
 from tracewright.operators.rows import spectrum_question
 from tracewright.plans.config import BuildConfig
+from tracewright.runtime import exists
 
 SCHEMA = "ord BIGINT, question STRING"
 Loader = Callable[[SparkSession, BuildConfig], DataFrame]
@@ -45,13 +44,21 @@ def table_questions(rows: DataFrame, field: str = "question") -> Column:
 
 
 def limited(rows: DataFrame, limit: int | None, order: str = "ord") -> DataFrame:
-    """The first ``limit`` rows by ``order``; a negative limit leaves out that many at the end, none keeps all."""
+    """The first ``limit`` rows by ``order``; a negative limit leaves out that many at the end, none keeps all.
+
+    Of rows that tie at the border as many stay as the limit asks for, no matter which."""
     if limit is None:
         return rows
     if limit >= 0:
         return rows.orderBy(order).limit(limit)
-    last = rows.orderBy(F.col(order).desc()).limit(-limit)
-    return rows.join(last.select(order), order, "left_anti")
+    tail = rows.orderBy(F.col(order).desc()).limit(-limit).groupBy(order).agg(F.count("*").alias("n"))
+    edge = tail.orderBy(order).first()  # one row: the border, and how many of its ties go
+    if edge is None:
+        return rows
+    at_edge = F.col(order).eqNullSafe(F.lit(edge[order]))
+    before = rows.where(F.coalesce(F.col(order) < F.lit(edge[order]), F.col(order).isNull()) & ~at_edge)
+    ties = rows.where(at_edge)
+    return before.unionByName(ties.limit(ties.count() - edge["n"]))
 
 
 def pick(rows: DataFrame, index: int, order: str = "ord") -> DataFrame:
@@ -66,18 +73,30 @@ def pick(rows: DataFrame, index: int, order: str = "ord") -> DataFrame:
 
 
 def _file_questions(spark: SparkSession, path: str, field: str) -> DataFrame:
-    whole = spark.read.text(path, wholetext=True)
-    numbered = whole.select(F.posexplode(lines(F.col("value"))).alias("place", "line")).select(F.col("place").cast("long").alias("ord"), "line")
+    """Lines of one file of any size, read in blocks. ``ord`` is the line's number in its block and the byte the block begins at, which
+    keeps the order of the file, as a line has a byte at least."""
+    read = spark.read.text(path).select(F.explode(lines(F.col("value"))).alias("line"), F.col("_metadata.file_block_start").alias("start"))
+    in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = read.select((F.col("start") + in_task).alias("ord"), "line")
     if path.endswith(".jsonl"):
         return jsonl_field(numbered, "line", field).select("ord", "question")
     return numbered.select("ord", strip(F.col("line")).alias("question")).where("question <> ''")
 
 
+def data_set(root: str, revision: str | None = None) -> str:
+    """Where a revision of a data set lies: beside the plain one, as ``<root>@<revision>``."""
+    return f"{root}@{revision}" if revision else root
+
+
 def parquet_loader(spark: SparkSession, config: BuildConfig) -> DataFrame:
-    """A published data set on disk: ``<dataset>[/<subset>]/<split>`` or one Parquet path."""
-    parts = [config.source_dataset, *([config.source_subset] if config.source_subset else []), config.source_split]
-    split = "/".join(parts)
-    return spark.read.parquet(split if Path(split).exists() else config.source_dataset)
+    """A published data set on any file system: ``<dataset>[@<revision>][/<subset>]/<split>``, or one Parquet path without subsets and splits."""
+    root = data_set(config.source_dataset, config.source_dataset_revision)
+    split = "/".join([root, *([config.source_subset] if config.source_subset else []), config.source_split])
+    if exists(spark, split):
+        return spark.read.parquet(split)
+    if config.source_subset or not exists(spark, root):
+        raise RuntimeError(f"there is no data set at {split}, and no other loader was given")
+    return spark.read.parquet(root)
 
 
 def load_questions(spark: SparkSession, config: BuildConfig, loader: Loader | None = None) -> DataFrame:
@@ -86,7 +105,7 @@ def load_questions(spark: SparkSession, config: BuildConfig, loader: Loader | No
     A table source needs an ``ord`` column for a defined order; without one, rows are numbered as they are read."""
     if config.source_type == "local_file":
         path = config.source_questions_path
-        if path is None or not Path(path).exists():
+        if path is None or not exists(spark, path):
             return spark.createDataFrame([], SCHEMA)
         return limited(_file_questions(spark, path, config.source_question_field), config.source_limit)
     if config.source_type == "hf_dataset":
@@ -97,6 +116,6 @@ def load_questions(spark: SparkSession, config: BuildConfig, loader: Loader | No
     raise ValueError(f"unknown source_type: {config.source_type}")
 
 
-def training_rows(spark: SparkSession, root: str, revision: Any = None) -> DataFrame:
-    """Published training rows."""
-    return spark.read.parquet(f"{root}/training/train")
+def training_rows(spark: SparkSession, root: str, revision: str | None = None) -> DataFrame:
+    """Published training rows, of a revision if one is named."""
+    return spark.read.parquet(f"{data_set(root, revision)}/training/train")
