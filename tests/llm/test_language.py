@@ -49,8 +49,7 @@ def test_padding_changes_nothing():
 
 def test_mixed_text(field):
     text = f"{PARTS['de'][1]} {PARTS['en'][2]} {PARTS['en'][0]}\n{PARTS['ru'][0]}"
-    [sentences] = L.Tagger(field).sentences([text])
-    found, stretches = L.describe(sentences, field.labels)
+    [(found, stretches)] = L.Tagger(field).texts([text])
     assert {x[0] for x in found} == {"en", "de", "ru"} and found[0][0] == "en"
     assert [x[2] for x in stretches] == ["de", "en", "ru"] and all(0 < x[3] <= 1 for x in stretches)
     assert text[stretches[1][0] : stretches[1][1]].startswith("Nobody") and text[stretches[1][0] : stretches[1][1]].endswith("class")
@@ -78,10 +77,45 @@ def test_held_out(spark, sf):
     documents = spark.read.parquet(f"{sf.rpartition('/')[0]}/sf0.01/documents.parquet")
     tagger = L.Tagger(L.fit_documents(documents))
     texts = [r.question + " " + r.reference_solution for r in questions]
-    found = [L.describe(s, tagger.field.labels)[0] for s in tagger.sentences(texts)]
+    found = [f for f, _ in tagger.texts(texts)]
     assert sum([x[0] for x in f] == [r.lang] for f, r in zip(found, questions)) >= 0.97 * len(questions)
 
 
 def test_empty_sample():
-    f = L.fit([])
-    assert L.describe(L.Tagger(f).sentences(["some words here"])[0], f.labels)[0][0][2] == 3
+    assert L.Tagger(L.fit([])).texts(["some words here", "nine words of which nobody has seen any before"])[0][0][0][2] == 3
+
+
+@pytest.fixture(scope="module")
+def whole(spark, sf):
+    return L.fit_documents(spark.read.parquet(f"{sf.rpartition('/')[0]}/sf0.1/documents.parquet"))
+
+
+SWITCHED = [
+    ("We add the first two numbers and write the total, und dann teilen wir alles durch die Anzahl der Kinder.", ["en", "de"]),
+    ("Als Erstes zählen wir die Karten in der Schublade, and after that the remaining pencils are counted twice.", ["de", "en"]),
+    ("First the whole box is counted again. Luego sumamos los dos números y escribimos el resultado al final.", ["en", "es"]),
+    ("Nobody noticed that Wolfgang and Jürgen counted the coins twice before lunch.", ["en"]),
+]
+
+
+@pytest.mark.parametrize("text, want", SWITCHED)
+def test_stretches_inside_sentences(whole, text, want):
+    [(_, stretches)] = L.Tagger(whole).texts([text])
+    assert [s[2] for s in stretches] == want
+    assert stretches[0][0] == 0 and all(a[1] <= b[0] for a, b in zip(stretches, stretches[1:]))
+
+
+def test_languages_that_the_field_does_not_know(whole):
+    texts = ["Następnie dodajemy obie liczby i zapisujemy wynik na końcu zeszytu, żeby nikt go nie zgubił.", "Seuraavaksi laskemme molemmat luvut yhteen ja kirjoitamme tuloksen vihkon loppuun.",
+             "Sonra iki sayıyı toplarız ve sonucu defterin sonuna yazarız, böylece kimse unutmaz."]
+    assert [f[0][0] for f, _ in L.Tagger(whole).texts(texts)] == ["other"] * 3
+
+
+def test_a_hot_key_does_not_starve_the_sample(spark):
+    """A key that holds a third of the rows, most of them one text, stands beside all the others."""
+    rows = [(0, "same text again" if i % 2 else f"text number {i}", "en") for i in range(300)] + [(i, f"text of key {i}", "en") for i in range(1, 600)]
+    df = spark.createDataFrame(rows, "k int, t string, l string")
+    sample = L.labelled_sample(df, "k", "t", F.col("l"), 100)
+    assert len(sample) == len(set(sample)) == 100 and sum("key" in t for t, _ in sample) > 40
+    assert sorted(sample) == sorted(L.labelled_sample(df.repartition(7), "k", "t", F.col("l"), 100))
+    assert L.labelled_sample(df.limit(0), "k", "t", F.col("l")) == []

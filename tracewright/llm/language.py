@@ -2,7 +2,9 @@
 
 Features of a word are hashed: the word, its prefixes and suffixes of up to three letters, its character trigrams, its script, and
 whether the lexicon of a language (words common in that language's training texts) has it. Two learned transition matrices tell
-moving on inside a sentence from moving on to the next one. Marginals come from forward-backward, run over many texts at once.
+moving on inside a sentence from moving on to the next one; some sentences are learned cut and joined to others, so a label can also
+change inside one. Marginals come from forward-backward, run over many texts at once, and label every word; stretches follow the labels
+of the words, also inside sentences. A text of whose words the field has seen hardly any is in no language it knows: ``other``.
 
 The model is fitted on the driver on a bounded sample of labelled texts (``per_language`` texts, ``SAMPLE_WORDS`` words of each);
 labels in the sample may be wrong: sentences that the words of all other texts put under another label leave the sample first. Everything else covers
@@ -21,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracewright.llm.words import plain
 
@@ -45,6 +48,10 @@ TOKEN = re.compile(r"<[^<>\n]{1,60}>|&#?\w{1,10};|([^\W\d_]+(?:['’\-‐­​-
 LEAST_WORDS, LEAST_MARGIN, LEAST_CONFIDENCE = 3, 8.0, 0.9
 #: All its sentences together must have so much; one clear sentence of five or more words has.
 LEAST_PROOF = 45.0
+#: A text of so many words is in a language of none of the labels if no larger share of its words, counted once, was seen in fitting.
+OTHER, OTHER_WORDS, OTHER_SEEN = "other", 8, 0.3
+#: Share of the sentences that are joined, each cut somewhere, to one of another language.
+SWITCHED = 0.15
 
 
 def normal_label(label: Column) -> Column:
@@ -63,22 +70,25 @@ def features(word: str, lexicon: dict[str, tuple[int, ...]]) -> list[int]:
     return [zlib.crc32(x.encode()) % BUCKETS for x in names]
 
 
-def tokens(text: str) -> tuple[list[str], list[bool], list[tuple[int, int]]]:
-    """Words in lower case, whether each begins a sentence, and where each stands. Figures are no words."""
-    out, begins, places, fresh, wrapped = [], [], [], True, False
-    for m in TOKEN.finditer(text):
-        if m.lastindex is None:  # markup
-            continue
-        if m.lastindex == 1:
-            out.append(m[1])
-            begins.append(fresh or (wrapped and m[1][0].isupper()))
-            places.append(m.span())
+def tokens(text: str) -> tuple[list[str], list[bool]]:
+    """Words as they are written, and whether each begins a sentence. Figures and markup are no words; a line break ends a sentence only
+    before a capital letter."""
+    out, begins, fresh, wrapped = [], [], True, False
+    for word, other in TOKEN.findall(text):
+        if word:
+            out.append(word)
+            begins.append(fresh or (wrapped and word[0].isupper()))
             fresh = wrapped = False
-        elif m[2] == "\n":
-            wrapped = True  # a line break ends a sentence only before a capital letter
-        else:
+        elif other == "\n":
+            wrapped = True
+        elif other:
             fresh = True
-    return [plain(w) for w in out], begins, places
+    return out, begins
+
+
+def places(text: str) -> list[tuple[int, int]]:
+    """Where each word of ``tokens`` stands."""
+    return [m.span() for m in TOKEN.finditer(text) if m.lastindex == 1]
 
 
 @dataclass
@@ -90,6 +100,7 @@ class Field:
     inside: np.ndarray
     between: np.ndarray
     lexicon: dict[str, tuple[int, ...]]
+    seen: frozenset[str] = frozenset()
 
     def emission(self, word: str) -> np.ndarray:
         return self.weights[features(word, self.lexicon)].sum(0) if word else np.zeros(len(self.labels), np.float32)
@@ -142,9 +153,9 @@ def fit(samples: Iterable[tuple[str, str]], labels: list[str] | None = None, rou
     texts = []
     for text, label in samples:
         if label in labels:
-            ws, begins, _ = tokens(text)
+            ws, begins = tokens(text)
             if ws:
-                texts.append((ws[:SAMPLE_WORDS], begins[:SAMPLE_WORDS], labels.index(label)))
+                texts.append(([plain(w) for w in ws[:SAMPLE_WORDS]], begins[:SAMPLE_WORDS], labels.index(label)))
     return _fit(_agreeing(texts, len(labels)), labels, rounds, rng)
 
 
@@ -190,6 +201,10 @@ def _fit(texts: list, labels: list[str], rounds: int, rng: np.random.Generator)
     for i in order:  # strung together in random order: half the labels change at sentence ends
         ws, y = sentences[i]
         mixed[0].extend(ws), mixed[1].extend([True] + [False] * (len(ws) - 1)), mixed[2].extend([y] * len(ws))
+    for i, j in zip(order[: int(len(order) * SWITCHED)], order[::-1]):
+        (a, x), (b, y) = sentences[i], sentences[j]
+        a, b = a[: len(a) - len(a) // 3], b[len(b) // 3 :]
+        mixed[0].extend(a + b), mixed[1].extend([True] + [False] * (len(a) + len(b) - 1)), mixed[2].extend([x] * len(a) + [y] * len(b))
     for ws, b, y in [*whole, mixed]:
         sequences += [(ws[i : i + LENGTH], b[i : i + LENGTH], y[i : i + LENGTH]) for i in range(0, len(ws), LENGTH)]
     words = {w: i for i, w in enumerate(sorted(seen))}
@@ -228,95 +243,169 @@ def _fit(texts: list, labels: list[str], rounds: int, rng: np.random.Generator)
     full = np.zeros((BUCKETS, k), np.float32)
     real = used < BUCKETS
     full[used[real]] = weights[real]
-    return Field(labels, full, inside, between, lexicon)
+    return Field(labels, full, inside, between, lexicon, frozenset(seen))
 
 
 class Tagger:
-    """Applies a field to texts; keeps each word's scores for the life of a task, up to a bound."""
+    """Applies a field to texts. Each written form of a word is scored once and keeps a row in a table for the life of a task, up to a
+    bound, at which the table begins anew."""
 
     def __init__(self, field: Field, keep: int = 200_000) -> None:
         self.field, self.keep = field, keep
-        self.cache: dict[str, np.ndarray] = {}
-
-    def scores(self, word: str) -> np.ndarray:
-        if (got := self.cache.get(word)) is None:
-            if len(self.cache) >= self.keep:
-                self.cache.clear()
-            got = self.cache[word] = self.field.emission(word)
-        return got
+        self.rows: dict[str, int] = {}
+        self.table = np.zeros((1024, len(field.labels) + 1))
+
+    def _row(self, word: str) -> int:
+        at = self.rows[word] = len(self.rows)
+        if at >= len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        bare = plain(word)
+        self.table[at, :-1], self.table[at, -1] = self.field.emission(bare), bare in self.field.seen
+        return at
+
+    def ids(self, words: list[str]) -> list[int]:
+        rows, new = self.rows, self._row
+        return [rows[w] if w in rows else new(w) for w in words]
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """A row per word: its score under each label, and whether fitting saw it. Good until more words are scored."""
+        if len(self.rows) > self.keep:
+            self.rows.clear()
+        ids = self.ids(words)
+        return self.table[ids]
 
     def total(self, words: list[str]) -> np.ndarray:
-        return np.sum([self.scores(w) for w in words], axis=0) if words else np.zeros(len(self.field.labels))
+        return self.scores(words)[:, :-1].sum(0)
 
-    def sentences(self, texts: list[str]) -> list[list[tuple[int, int, int, int, float, np.ndarray]]]:
-        """Per text its sentences: start, end, words, label, confidence, evidence per label."""
-        out: list[list] = [[] for _ in texts]
+    def groups(self, texts: list[str], cells: int = 60_000) -> Iterator[tuple]:
+        """Texts of like length together: their numbers, words, and padded emissions, sentence beginnings and lengths."""
         parsed = [tokens(t) for t in texts]
         order = sorted((i for i in range(len(texts)) if parsed[i][0]), key=lambda i: len(parsed[i][0]))
-        f, at = self.field, 0
+        k, at = len(self.field.labels), 0
         while at < len(order):
-            group, cells = [], 0
-            while at < len(order) and (not group or (len(group) + 1) * len(parsed[order[at]][0]) <= 60_000):
+            group: list[int] = []
+            while at < len(order) and (not group or (len(group) + 1) * len(parsed[order[at]][0]) <= cells):
                 group.append(order[at])
                 at += 1
             lengths = np.array([len(parsed[i][0]) for i in group])
-            t = int(lengths.max())
-            emissions, begins = np.zeros((len(group), t, len(f.labels))), np.zeros((len(group), t), bool)
+            scored, begins = np.zeros((len(group), int(lengths.max()), k + 1)), np.zeros((len(group), int(lengths.max())), bool)
             for row, i in enumerate(group):
-                emissions[row, : lengths[row]] = [self.scores(w) for w in parsed[i][0]]
+                scored[row, : lengths[row]] = self.scores(parsed[i][0])
                 begins[row, : lengths[row]] = parsed[i][1]
+            yield group, [parsed[i][0] for i in group], scored, begins, lengths
+
+    def texts(self, texts: list[str], stretches: bool = True) -> list[tuple[list, list]]:
+        """Languages and stretches of each text, as ``describe`` gives them; without stretches unless asked for."""
+        f = self.field
+        out: list[tuple[list, list]] = [([], []) for _ in texts]
+        for group, written, scored, begins, lengths in self.groups(texts):
+            emissions = scored[:, :, :-1]
             gamma = forward_backward(emissions, begins, f.inside, f.between, lengths)
             for row, i in enumerate(group):
-                starts = np.flatnonzero(begins[row, : lengths[row]])
-                sums = np.add.reduceat(gamma[row, : lengths[row]], starts)
-                proof = np.add.reduceat(emissions[row, : lengths[row]], starts)
-                ends = [*starts[1:], lengths[row]]
-                places = parsed[i][2]
-                for a, b, p, q in zip(starts, ends, sums, proof):
-                    y = int(p.argmax())
-                    out[i].append((places[a][0], places[b - 1][1], int(b - a), y, float(p[y] / (b - a)), q))
+                n = int(lengths[row])
+                starts = np.flatnonzero(begins[row, :n])
+                sums, proof = np.add.reduceat(gamma[row, :n], starts), np.add.reduceat(emissions[row, :n], starts)
+                found = []
+                for a, b, p, q in zip(starts, [*starts[1:], n], sums, proof):
+                    y = int(q.argmax())
+                    found.append((int(a), int(b), y, float(p[y] / (b - a)), q))
+                unknown = f.seen and n >= OTHER_WORDS and self._unknown(written[row], scored[row, :n, -1])
+                main, sure = judged(found, len(f.labels))
+                if unknown:
+                    out[i] = ([(OTHER, unknown, n)], [(*_span(places(texts[i]), 0, n), OTHER, unknown, n)] if stretches else [])
+                elif not stretches:
+                    out[i] = (languages(found, main, sure, f.labels), [])
+                else:
+                    cut = by_words(found, main, sure, gamma[row, :n], emissions[row, :n])
+                    at = places(texts[i])
+                    out[i] = (languages(found, main, sure, f.labels), [(*_span(at, a, b), f.labels[y], float(gamma[row, a:b, y].mean()), b - a) for a, b, y in cut])
         return out
 
+    @staticmethod
+    def _unknown(written: list[str], seen: np.ndarray) -> float:
+        """How sure it is that the words are of no language that was fitted; 0 if they may be of one. Repeated words count once."""
+        first = {w.casefold(): s for w, s in zip(written, seen)}
+        share = sum(first.values()) / len(first)
+        return float(1 - share) if share <= OTHER_SEEN else 0.0
+
+
+def _span(at: list[tuple[int, int]], a: int, b: int) -> tuple[int, int]:
+    return at[a][0], at[b - 1][1]
+
 
 SEGMENTS = "languages array<struct<lang:string,confidence:double,n_words:int>>, segments array<struct<start:int,end:int,lang:string,confidence:double,n_words:int>>"
 
 
-def describe(sentences: list[tuple], labels: list[str]) -> tuple[list, list]:
-    """Languages of a text (largest first) and its stretches. A sentence too short or too uncertain goes with the stretch before it."""
-    if not sentences:
-        return [], []
-    whole = np.sum([s[5] for s in sentences], axis=0)
-    share = np.zeros(len(labels))
-    for s in sentences:
-        share[s[3]] += s[2] * s[4]
+def judged(sentences: list[tuple], k: int) -> tuple[int, list[bool]]:
+    """The main language of a text, and which of its sentences (first word, end, label, confidence, evidence) speak for theirs: long and
+    sure enough, with evidence against the main language, of which all sentences of a language together need more."""
+    share, whole = np.zeros(k), np.sum([s[4] for s in sentences], axis=0)
+    for a, b, y, c, _ in sentences:
+        share[y] += (b - a) * c
     main = int(share.argmax()) if share.max() > 0 else int(whole.argmax())
-    sure = [s[2] >= LEAST_WORDS and s[4] >= LEAST_CONFIDENCE and (s[3] == main or s[5][s[3]] - s[5][main] >= LEAST_MARGIN) for s in sentences]
-    proof = np.zeros(len(labels))
-    for s, ok in zip(sentences, sure):
-        proof[s[3]] += ok * (s[5][s[3]] - s[5][main])
-    sure = [ok and (s[3] == main or proof[s[3]] >= LEAST_PROOF) for s, ok in zip(sentences, sure)]
-    stretches: list[list] = []
+    sure = [b - a >= LEAST_WORDS and c >= LEAST_CONFIDENCE and (y == main or q[y] - q[main] >= LEAST_MARGIN) for a, b, y, c, q in sentences]
+    proof = np.zeros(k)
+    for (_, _, y, _, q), ok in zip(sentences, sure):
+        proof[y] += ok * (q[y] - q[main])
+    return main, [ok and (s[2] == main or proof[s[2]] >= LEAST_PROOF) for s, ok in zip(sentences, sure)]
+
+
+def _spoken(sentences: list[tuple], main: int, sure: list[bool]) -> list[int]:
+    """The language of each sentence: an unsure one goes with the sure one before it, at the beginning with the first sure one."""
+    first = next((s[2] for s, ok in zip(sentences, sure) if ok), main)
+    out: list[int] = []
     for s, ok in zip(sentences, sure):
-        y = s[3] if ok else (stretches[-1][2] if stretches else None)
-        if stretches and (stretches[-1][2] == y or stretches[-1][2] is None):
-            last = stretches[-1]
-            last[1], last[2] = s[1], y if last[2] is None else last[2]
-            last[3] += s[4] * s[2]
-            last[4] += s[2]
-        else:
-            stretches.append([s[0], s[1], y, s[4] * s[2], s[2]])
-    for x in stretches:
-        x[2] = main if x[2] is None else x[2]
-    totals: dict[int, list[float]] = defaultdict(lambda: [0.0, 0])
-    for _, _, y, c, n in stretches:
-        totals[y][0] += c
-        totals[y][1] += n
-    found = sorted(totals.items(), key=lambda x: -x[1][1])
-    return [(labels[y], c / n, n) for y, (c, n) in found], [(a, b, labels[y], c / n, n) for a, b, y, c, n in stretches]
+        out.append(s[2] if ok else out[-1] if out else first)
+    return out
 
 
-def detect(documents: DataFrame, key: str, text: str, field: Field, *keep: str) -> DataFrame:
-    """Per row its ``languages`` and ``segments``. A null text, or one without a word, has none; repeated keys give a row each."""
+def languages(sentences: list[tuple], main: int, sure: list[bool], labels: list[str]) -> list[tuple[str, float, int]]:
+    """Languages of whole sentences, the largest first, with mean confidence and words."""
+    totals: dict[int, list[float]] = defaultdict(lambda: [0.0, 0])
+    for y, (a, b, _, c, _) in zip(_spoken(sentences, main, sure), sentences):
+        totals[y][0] += c * (b - a)
+        totals[y][1] += b - a
+    return [(labels[y], c / n, int(n)) for y, (c, n) in sorted(totals.items(), key=lambda x: -x[1][1])]
+
+
+def by_words(sentences: list[tuple], main: int, sure: list[bool], gamma: np.ndarray, emissions: np.ndarray) -> list[tuple[int, int, int]]:
+    """Stretches (first word, end, label) by the labels of the words.
+
+    Inside a sentence another label than the sentence's counts if a run of ``LEAST_WORDS`` words is labelled so, with ``LEAST_MARGIN``
+    evidence; shorter runs, as names and loan words are, don't. Between the labels that count the sentence is cut where that fits its
+    words best, a cut costing ``LEAST_MARGIN``."""
+    label = np.repeat(_spoken(sentences, main, sure), [b - a for a, b, *_ in sentences])
+    best = gamma.argmax(1)
+    own = emissions[np.arange(len(best)), best] - emissions[np.arange(len(best)), label]
+    for a, b, *_ in sentences:
+        if (best[a:b] == label[a]).all():
+            continue
+        edges = [a, *(np.flatnonzero(np.diff(best[a:b])) + a + 1), b]
+        others = {int(best[x]) for x, y in zip(edges, edges[1:]) if y - x >= LEAST_WORDS and own[x:y].sum() >= LEAST_MARGIN}
+        if others - {int(label[a])}:
+            kept = sorted(others | {int(label[a])})
+            label[a:b] = np.array(kept)[_cheapest(emissions[a:b, kept])]
+    cuts = np.flatnonzero(np.diff(label, prepend=-1))
+    return [(int(a), int(b), int(label[a])) for a, b in zip(cuts, [*cuts[1:], len(label)])]
+
+
+def _cheapest(gains: np.ndarray) -> list[int]:
+    """The label of each word that gains most, a change of label costing ``LEAST_MARGIN``."""
+    total, back = gains[0].copy(), []
+    for row in gains[1:]:
+        top = int(total.argmax())
+        moved = total < total[top] - LEAST_MARGIN
+        back.append(np.where(moved, top, np.arange(len(row))))
+        total = np.where(moved, total[top] - LEAST_MARGIN, total) + row
+    path = [int(total.argmax())]
+    for came in reversed(back):
+        path.append(int(came[path[-1]]))
+    return path[::-1]
+
+
+def detect(documents: DataFrame, key: str, text: str, field: Field, *keep: str, stretches: bool = True) -> DataFrame:
+    """Per row its ``languages`` (of whole sentences) and ``segments`` (by words; none unless ``stretches``). A null text, or one without a
+    word, has none; repeated keys give a row each. A text in none of the field's languages has the language ``other``."""
     shared = documents.sparkSession.sparkContext.broadcast(field)
     columns = [F.col(key).alias("_k"), F.col(text).alias("_t"), *[F.col(c) for c in keep]]
     source = documents.select(*columns)
@@ -325,7 +414,7 @@ def detect(documents: DataFrame, key: str, text: str, field: Field, *keep: str)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tagger = Tagger(shared.value)
         for batch in batches:
-            described = [describe(s, tagger.field.labels) for s in tagger.sentences([t or "" for t in batch["_t"]])]
+            described = tagger.texts([t or "" for t in batch["_t"]], stretches)
             out = batch.drop(columns="_t")
             out["languages"] = [[dict(zip(("lang", "confidence", "n_words"), x)) for x in d[0]] for d in described]
             out["segments"] = [[dict(zip(("start", "end", "lang", "confidence", "n_words"), x)) for x in d[1]] for d in described]
@@ -335,19 +424,19 @@ def detect(documents: DataFrame, key: str, text: str, field: Field, *keep: str)
 
 
 def labelled_sample(documents: DataFrame, key: str, text: str, label: Column, per_language: int = 200, languages: list[str] | None = None) -> list[tuple[str, str]]:
-    """At most ``per_language`` texts per label, by the hash of the key: a bounded sample that doesn't depend on how rows are stored."""
-    named = documents.select(F.col(text).alias("t"), label.alias("y"), F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)).alias("h")).where(F.col("y").isin(languages or LANGUAGES) & F.col("t").isNotNull())
+    """At most ``per_language`` different texts per label, by a hash of key and text: a bounded sample that doesn't depend on how rows are
+    stored. Of a text ``12 * SAMPLE_WORDS`` characters are taken, from a place that the hash gives."""
+    h = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(1 << 30))
+    named = documents.select(F.col(text).alias("t"), label.alias("y"), h.alias("h")).where(F.col("y").isin(languages or LANGUAGES) & F.col("t").isNotNull())
     counts = {r["y"]: r["n"] for r in named.groupBy("y").agg(F.count("*").alias("n")).collect()}
     below = {y: int((1 << 30) * min(1.0, 1.5 * (per_language + 10) / n)) for y, n in counts.items()}
     if not below:
         return []
     near = F.coalesce(*[F.when(F.col("y") == y, F.lit(b)) for y, b in below.items()])
-    rows = named.where(F.col("h") <= near).select("y", "h", F.substr("t", 1 + F.col("h") % F.greatest(F.lit(1), F.length("t") - 12 * SAMPLE_WORDS), F.lit(12 * SAMPLE_WORDS)).alias("t")).limit(len(below) * 3 * (per_language + 50)).collect()
-    out: list[tuple[str, str]] = []
-    for y in sorted(below):
-        own = sorted((r for r in rows if r["y"] == y), key=lambda r: (r["h"], r["t"]))
-        out += [(r["t"], y) for r in own[:per_language]]
-    return out
+    part = F.substr("t", 1 + F.col("h") % F.greatest(F.lit(1), F.length("t") - 12 * SAMPLE_WORDS), F.lit(12 * SAMPLE_WORDS))
+    some = named.where(F.col("h") <= near).select("y", "h", part.alias("t")).distinct()
+    rank = F.row_number().over(Window.partitionBy("y").orderBy("h", "t"))  # over a little more than the sample
+    return [(r["t"], r["y"]) for r in some.withColumn("r", rank).where(F.col("r") <= per_language).orderBy("y", "r").select("t", "y").collect()]
 
 
 def fit_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 200) -> Field:
@@ -357,8 +446,8 @@ def fit_documents(documents: DataFrame, key: str = "doc_id", text: str = "text",
 def mislabelled(detected: DataFrame, key: str, lang: str) -> DataFrame:
     """One row per language of each text whose label is missing, names a language the text isn't in, or that has several.
 
-    A text without words has no language and gives no row."""
+    A text without words has no language and gives no row, nor does one in a language that the field doesn't know."""
     own = F.transform("languages", lambda x: x["lang"])
     label = normal_label(F.col(lang))
     wrong = (label == "") | ~F.array_contains(own, label) | (F.size(own) > 1)
-    return detected.where(wrong).select(key, F.explode("languages").alias("l")).select(key, F.col("l.lang").alias("lang"), F.col("l.confidence").alias("confidence"))
+    return detected.where(wrong).select(key, F.explode("languages").alias("l")).where(F.col("l.lang") != OTHER).select(key, F.col("l.lang").alias("lang"), F.col("l.confidence").alias("confidence"))

@@ -135,7 +135,7 @@ def text_defect(prompt: str | None, completion: str, tagger: Tagger, question) -
     asked = question(question_of(prompt))
     if asked.tokens and asked.copied(got):
         return "copies_question"
-    spoken = [w for w in tokens(completion)[0]]
+    spoken = tokens(completion)[0]
     if asked.tokens and len(spoken) >= LANGUAGE_WORDS:
         scores = tagger.total(spoken)
         if scores.max() - scores[asked.language] >= max(LANGUAGE_MARGIN, LANGUAGE_MARGIN_PER_WORD * len(spoken)):

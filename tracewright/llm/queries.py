@@ -51,7 +51,9 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     training = _read(spark, sf, "training").select(F.lit("training").alias("pair_table"), F.col("training_id").alias("pair_id"), "source", "prompt", "completion")
     transitions = _read(spark, sf, "transitions").select(F.lit("transitions").alias("pair_table"), F.col("row_no").alias("pair_id"), "source", F.col("input_x").alias("prompt"), F.col("target_y").alias("completion"))
     asked = _read(spark, sf, "questions").withColumn("said", F.concat_ws("\n", "question", "reference_solution"))
-    field = language.fit(language.labelled_sample(asked, "question_id", "said", language.normal_label(F.col("lang"))))
+    sample = language.labelled_sample(asked, "question_id", "said", language.normal_label(F.col("lang")))  # four languages, of the pairs' kind
+    sample += language.labelled_sample(_read(spark, sf, "documents"), "doc_id", "text", language.normal_label(F.col("lang")))  # all seven
+    field = language.fit(sample)
     return pairs.defective_pairs(training.unionByName(transitions), field)
 
 
@@ -124,9 +126,9 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(_read(spark, sf, "documents"), _read(spark, sf, "mix_targets"))[1]
 
 
-def _languages(spark: SparkSession, sf: str) -> DataFrame:
+def _languages(spark: SparkSession, sf: str, stretches: bool = False) -> DataFrame:
     documents = _read(spark, sf, "documents")
-    return language.detect(documents, "doc_id", "text", language.fit_documents(documents), "lang")
+    return language.detect(documents, "doc_id", "text", language.fit_documents(documents), "lang", stretches=stretches)
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -140,8 +142,8 @@ def p8_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_segments(spark: SparkSession, sf: str) -> DataFrame:
-    """Every stretch of every text with its language and confidence."""
-    return _languages(spark, sf).select("doc_id", F.posexplode("segments").alias("segment_no", "s")).select("doc_id", "segment_no", "s.*")
+    """Every stretch of every text, by words, with its language and confidence."""
+    return _languages(spark, sf, True).select("doc_id", F.posexplode("segments").alias("segment_no", "s")).select("doc_id", "segment_no", "s.*")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
