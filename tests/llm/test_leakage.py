@@ -144,3 +144,21 @@ def test_blocks_change_nothing(spark, monkeypatch):
     whole = sorted(r.item_id for r in K.leaked(docs, items).collect())
     monkeypatch.setattr(K, "BLOCK_CHARACTERS", 120)
     assert sorted(r.item_id for r in K.leaked(docs, items).collect()) == whole and len(whole) == 9
+
+
+def test_a_run_of_words_that_stands_everywhere(monkeypatch):
+    """Portions of the places of a hot run change nothing."""
+    hot = "what is the total number of"
+    items = K.Items([(i, f"{hot} things {i} " + " ".join(f"w{i}x{k}" for k in range(30)), None) for i in range(40)])
+    documents = [K.passage_words(f"note {d} {hot} cards. " * 5 + (" ".join(f"w{d}x{k}" for k in range(5, 20)) if d % 10 == 0 else "")) for d in range(60)]
+    whole = sorted(K.search(documents, items))
+    assert [(r[0], r[1]) for r in whole] == [(d, d) for d in range(0, 40, 10)]
+    monkeypatch.setattr(K, "PAIRS", 50)
+    assert sorted(K.search(documents, items)) == whole
+
+
+def test_long_passages_are_followed_to_their_end():
+    said = [f"w{i}" for i in range(400)]
+    changed = [("x" if i % 8 == 3 else w) for i, w in enumerate(said)]
+    [(_, _, verbatim, words, changes, *_)] = K.search([["a", *changed, "b"]], K.Items([(1, " ".join(said), None)]))
+    assert verbatim == 7 and words >= 398 and changes == 50

@@ -18,7 +18,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -26,11 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.words import INVISIBLE
+from tracewright.runtime import checkpointed
 
 VERBATIM, FUZZY, CHANGED, ANCHOR = 12, 25, 0.2, 4
 #: The longest passage that can't be cut into two passages.
 WITHIN = 2 * FUZZY - 1
 SHARD_WORDS, BLOCK_CHARACTERS = 200_000, 8_000_000
+#: Places in the items times places in the shard that are looked at together.
+PAIRS = 500_000
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|<!--.*?-->")
 _WRAP = re.compile(r"(\w)[-‐‑]\s*\n[ \t>]*(?=[^\W\d_])")
 _LINE = re.compile(r"(?m)^[ \t>]*(?:[-*•+#]+|\(?\d{1,3}[.)])(?=[ \t])")
@@ -108,8 +111,9 @@ def _narrow(string: np.ndarray, order: np.ndarray, low: np.ndarray, high: np.nda
     return bound(False), bound(True)
 
 
-def matches(string: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All maximal verbatim matches of at least ``ANCHOR`` words: place in the shard, place in the items, length."""
+def matches(string: np.ndarray, items: Items, whole: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All maximal verbatim matches of at least ``ANCHOR`` words: place in the shard, place in the items, length. Unless ``whole``, those
+    under ``VERBATIM`` words are left out where no passage can lie around them."""
     order = suffix_array(string, min(items.longest, 1 << 14))
     query = np.flatnonzero((items.string[: len(items.string) - ANCHOR + 1] > 0) & (np.convolve(items.string > 0, np.ones(ANCHOR, int), "valid") == ANCHOR))
     low, high = np.zeros(len(query), np.int64), np.full(len(query), len(order), np.int64)
@@ -118,8 +122,16 @@ def matches(string: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, n
         some = low < high
         query, low, high = query[some], low[some], high[some]
     size = high - low
-    if not size.sum():
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    found = [np.empty((3, 0), np.int64)]
+    total = np.cumsum(size)
+    edges = np.searchsorted(total, np.arange(0, total[-1], PAIRS)) if len(total) else []
+    for a, b in zip(edges, [*edges[1:], len(size)]):  # a run of words that stands everywhere is met in bounded portions
+        found.append(_expanded(string, order, items, query[a:b], low[a:b], size[a:b], whole))
+    return tuple(np.concatenate(found, axis=1))
+
+
+def _expanded(string: np.ndarray, order: np.ndarray, items: Items, query: np.ndarray, low: np.ndarray, size: np.ndarray, whole: bool) -> np.ndarray:
+    """Maximal matches for intervals of the suffix array, grown word by word."""
     item = np.repeat(query, size)
     place = order[np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]
     before = np.where(place > 0, string[place - 1], 0)
@@ -133,7 +145,9 @@ def matches(string: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, n
         grow, x, y = grow[ok], x[ok], y[ok]
         grow = grow[(string[x] == items.string[y]) & (string[x] > 0)]
         length[grow] += 1
-    return place, item, length
+    keep = (length >= VERBATIM) | whole
+    keep[~keep] = _may_hold(string, place[~keep], items, item[~keep], length[~keep])
+    return np.stack([place[keep], item[keep], length[keep]])
 
 
 def _edits(a: list[int], b: list[int]) -> list[int]:
@@ -161,8 +175,8 @@ def _edits(a: list[int], b: list[int]) -> list[int]:
 def aligned(string: np.ndarray, first: int, last: int, items: Items, place: int, item: int, length: int, reach: int = 3 * FUZZY) -> tuple[int, int] | None:
     """The longest passage around an anchor with at most one word in five changed, as words and changes; None under ``FUZZY`` words.
 
-    ``first`` and ``last`` bound the document. Passages are followed for ``reach`` words to either side. To know whether there is one,
-    ``WITHIN - ANCHOR`` are enough."""
+    ``first`` and ``last`` bound the document. Passages are followed for ``reach`` words to either side; a reach that the passage found
+    comes near to is doubled, so it ends only with the passage or the item. To know whether there is one, ``WITHIN - ANCHOR`` are enough."""
     left = items.string[max(0, item - reach) : item][::-1]
     left = left[: int(np.argmax(left == 0)) if (left == 0).any() else len(left)]
     right = items.string[item + length : item + length + reach]
@@ -173,13 +187,18 @@ def aligned(string: np.ndarray, first: int, last: int, items: Items, place: int,
     if not any(a + most >= FUZZY and x <= CHANGED * (a + most) for a, x in enumerate(before)):
         return None
     after = _edits(right.tolist(), string[place + length : min(last, place + length + len(right) + more)].tolist())
-    best = None
-    for a, x in enumerate(before):
-        for b, y in enumerate(after):
-            words = a + length + b
-            if words >= FUZZY and x + y <= CHANGED * words and (best is None or (words, -x - y) > best):
-                best = (words, -x - y)
-    return None if best is None else (best[0], -best[1])
+    x, y = np.array(before), np.array(after)
+    words = np.arange(len(x))[:, None] + length + np.arange(len(y))
+    changes = x[:, None] + y
+    good = (words >= FUZZY) & (changes <= CHANGED * words)
+    if not good.any():
+        return None
+    best = np.where(good, words * (len(x) + len(y) + 1) - changes, -1).argmax()
+    a, b = np.unravel_index(best, words.shape)
+    near = FUZZY * CHANGED
+    if reach > WITHIN and ((len(left) == reach and a >= reach - near) or (len(right) == reach and b >= reach - near)):
+        return aligned(string, first, last, items, place, item, length, 2 * reach)
+    return int(words[a, b]), int(changes[a, b])
 
 
 def _may_hold(string: np.ndarray, place: np.ndarray, items: Items, item: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -219,16 +238,14 @@ def search(documents: list[list[str]], items: Items) -> list[tuple]:
         string += [number(w, 0) for w in ws]
         string.append(0)
     text = np.array(string, dtype=np.int32)
-    place, item, length = matches(text, items)
+    place, item, length = matches(text, items, False)
     if not len(place):
         return []
     bounds = np.array(starts)
     document = np.searchsorted(bounds, place, side="right") - 1
     owner = items.owner[item]
-    long_enough = length >= VERBATIM
-    candidates = long_enough | _may_hold(text, place, items, item, length)
     found: dict[tuple[int, int], list] = {}
-    for i in np.flatnonzero(candidates)[np.argsort(-length[candidates], kind="stable")]:
+    for i in np.argsort(-length, kind="stable"):
         key = (int(document[i]), int(owner[i]))
         if key in found:
             continue
@@ -244,47 +261,48 @@ def search(documents: list[list[str]], items: Items) -> list[tuple]:
     return [(d, items.ids[k], *rest) for (d, k), rest in found.items()]
 
 
-def _blocks(items: DataFrame, key: str, fields: tuple[str, str]) -> list[list[tuple]]:
-    total = items.agg(F.sum(F.length(F.coalesce(F.col(fields[0]), F.lit(""))) + F.length(F.coalesce(F.col(fields[1]), F.lit("")))).alias("n")).first()["n"] or 0
-    parts = int(total // BLOCK_CHARACTERS) + 1
-    out = []
-    for part in range(parts):
-        rows = items if parts == 1 else items.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part)
-        out.append(sorted((r[0], r[1], r[2]) for r in rows.select(key, *fields).where(F.col(key).isNotNull()).collect()))
-    return out
+def _block(items: DataFrame, key: str, fields: tuple[str, str], part: int, parts: int) -> list[tuple]:
+    rows = items if parts == 1 else items.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part)
+    return sorted(((r[0], r[1], r[2]) for r in rows.select(key, *fields).where(F.col(key).isNotNull()).collect()), key=lambda r: (r[0], r[1] or "", r[2] or ""))
 
 
-def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_fields: tuple[str, str] = ("question", "reference_solution")) -> DataFrame:
+def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_fields: tuple[str, str] = ("question", "reference_solution"), block_characters: int = BLOCK_CHARACTERS) -> DataFrame:
     """Each pair of a document and an item that leaked into it: longest verbatim match, aligned passage and places (in words from 0).
 
     Null or empty texts and items match nothing. Rows that share a document key are searched apart and give rows apart. Items with the
-    same words are all reported."""
+    same words are all reported. The driver holds one block of items at a time: with several, each pass is written to the shared folder
+    before the next block is fetched."""
     kind = documents.schema[key].dataType.simpleString()
     source = documents.select(F.col(key).alias("k"), F.col(text).alias("t"))
-
-    def pass_over(block: list[tuple]) -> DataFrame:
-        shared = documents.sparkSession.sparkContext.broadcast(Items(block))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            evaluation = shared.value
-            for batch in batches:
-                rows, keys, shard, size = [], [], [], 0
-                for k, t in zip(batch["k"], batch["t"]):
-                    ws = passage_words(t or "")
-                    if len(ws) < VERBATIM:
-                        continue
-                    if size and size + len(ws) > SHARD_WORDS:
-                        rows += [(keys[r[0]], *r[1:]) for r in search(shard, evaluation)]
-                        keys, shard, size = [], [], 0
-                    keys.append(k)
-                    shard.append(ws)
-                    size += len(ws)
-                rows += [(keys[r[0]], *r[1:]) for r in search(shard, evaluation)] if shard else []
-                yield pd.DataFrame(rows, columns=["k", *[x.split()[0] for x in SCHEMA.split(", ")]])
-
-        return source.mapInPandas(run, f"k {kind}, {SCHEMA}")
-
-    return reduce(DataFrame.unionByName, [pass_over(b) for b in _blocks(items, item_key, item_fields)]).withColumnRenamed("k", key)
+    length = lambda c: F.length(F.coalesce(F.col(c), F.lit("")))
+    parts = int((items.agg(F.sum(length(item_fields[0]) + length(item_fields[1])).alias("n")).first()["n"] or 0) // block_characters) + 1
+
+    def run(batches: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
+        evaluation = shared.value
+        for batch in batches:
+            rows, keys, shard, size = [], [], [], 0
+            for k, t in zip(batch["k"], batch["t"]):
+                ws = passage_words(t or "")
+                if len(ws) < VERBATIM:
+                    continue
+                if size and size + len(ws) > SHARD_WORDS:
+                    rows += [(keys[r[0]], *r[1:]) for r in search(shard, evaluation)]
+                    keys, shard, size = [], [], 0
+                keys.append(k)
+                shard.append(ws)
+                size += len(ws)
+            rows += [(keys[r[0]], *r[1:]) for r in search(shard, evaluation)] if shard else []
+            yield pd.DataFrame(rows, columns=["k", *[x.split()[0] for x in SCHEMA.split(", ")]])
+
+    passes = []
+    for part in range(parts):
+        shared = documents.sparkSession.sparkContext.broadcast(Items(_block(items, item_key, item_fields, part, parts)))
+        found = source.mapInPandas(partial(run, shared=shared), f"k {kind}, {SCHEMA}")
+        if parts > 1:
+            found = checkpointed(found)
+            shared.destroy()
+        passes.append(found)
+    return reduce(DataFrame.unionByName, passes).withColumnRenamed("k", key)
 
 
 def without_leaks(documents: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
