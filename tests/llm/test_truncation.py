@@ -1,5 +1,6 @@
 """Truncation on a small corpus whose cuts are known."""
 
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -103,3 +104,43 @@ def test_lengths(spark):
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "id int, source string, field_name string, text string")
     assert X.truncated(df).count() == 0 and X.hidden_limits(df).count() == 0 and X.cut_rates(df, X.truncated(df)).count() == 0
+
+
+def test_limits_in_every_encoding_decide(spark):
+    """Values cut where a store counts bytes, HTML or JSON; their last words may look whole. The limit is named and is the evidence."""
+    import html
+    import random
+
+    size = {
+        "utf8_bytes": lambda t: len(t.encode()), "html_characters": lambda t: len(html.escape(t).replace("&#x27;", "&apos;").replace("&#39;", "&apos;")),
+        "json_characters": lambda t: len(json.dumps(t, ensure_ascii=False)) - 2, "crlf_characters": lambda t: len(t) + t.count("\n"),
+    }
+    special = {"utf8_bytes": "é", "html_characters": "&", "json_characters": '"', "crlf_characters": "\n"}
+    rng = random.Random(3)
+    rows = []
+    for name, count in size.items():
+        for i in range(120):
+            words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 8))) for _ in range(40)]
+            text = "".join(w + (special[name] if rng.random() < 0.3 else "") + " " for w in words).strip()
+            if i % 3 == 0:
+                while count(text) > 90:
+                    text = text[:-1]
+                if count(text) < 90 or text != text.strip():  # an escape stands over the limit, or the cut is at a blank
+                    continue
+            else:
+                text = text[: rng.randrange(40, 160)].strip() + "."
+            rows.append((len(rows), name, "f", text))
+    df = spark.createDataFrame(rows, "k int, source string, field_name string, text string")
+    found = {(r.source, r.encoding, r.limit) for r in X.hidden_limits(df).collect()}
+    assert found == {(name, name, 90) for name in size}
+    cut = {r.k: r.evidence for r in X.truncated(df).collect()}
+    at = {k for k, name, _, t in rows if t[-1] != "." and size[name](t) == 90}
+    assert at and all(cut.get(k) == "limit" for k in at)
+
+
+def test_ends_behind_long_blanks_and_brackets(spark):
+    """What stands far from the last letter counts, too."""
+    said = {1: "It goes on [" + " " * 60 + "truncated" + " " * 60 + "]", 2: "All is said." + '"' * 80, 3: "All is said here. " * 30 + "And then it goes [...]", 4: "#" * 200 + "n/a" + "#" * 200}
+    df = spark.createDataFrame([(k, "s", "f", t) for k, t in said.items()], "k int, source string, field_name string, text string")
+    assert {r.k: r.evidence for r in X.truncated(df).collect()} == {1: "mark", 3: "mark"}
+    assert [r.k for r in df.where(X.is_empty(F.col("text"))).collect()] == [4]

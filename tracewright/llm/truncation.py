@@ -3,9 +3,10 @@
 1. The length of every value is worked out anew under other encodings: UTF-8 bytes, UTF-16 units, HTML entities, JSON escapes,
    ``\\r\\n`` line ends. Per source, field and encoding, values without a final full stop that pile up at a length show a hidden limit;
    a source and field can have several.
-2. Endings are inspected. Sentences that are followed by more text, or closed by a full stop, teach how sentences end: for the last
+   A value without a final full stop at such a length was cut there, whatever its last words look like.
+2. Endings of the other values are inspected. Sentences that are followed by more text, or closed by a full stop, teach how sentences end: for the last
    one to three words (figures masked) how often a sentence ends there and how often it goes on. A value without a final full stop
-   whose last words nearly always go on was cut; so was one with a cut mark, a broken character, or the length of a hidden limit.
+   whose last words nearly always go on was cut; so was one with a cut mark or a broken character.
 
 Counting covers all values. Sentences are first grouped, so only distinct ones reach Python.
 """
@@ -26,32 +27,30 @@ from tracewright.runtime import checkpointed
 #: Stand-ins for a missing value; compared without case, blanks and brackets.
 PLACEHOLDERS = ["", "n/a", "na", "nan", "none", "null", "nil", "undefined", "empty", "noanswer", "missing", "tbd", "todo", "unknown", "-", "--", "?", "..."]
 INVISIBLE = "­​-‏ -‮⁠-⁤﻿"
+#: Ends are read backwards, letter by letter: a pattern at the beginning of the reversed text is tried once, whatever the length of the text.
 #: A mark that says text was cut, or a broken last character.
-CUT_MARK = r"(?:…|\.\.\.+|\[\s*(?:…|\.\.\.|truncated|cut|cut off|more|continued|snip|read more)\s*\]|\(\s*(?:…|\.\.\.|truncated|cut|continued)\s*\)|�)\s*\z"
-STOP = r"[.!?。！？][\"'”’»“)\]]*\z"
+_SAID = "|".join(x[::-1].replace(" ", r"\s") for x in ("truncated", "cut off", "cut", "more", "continued", "snip", "read more"))
+CUT_MARK = rf"^\s*(?:…|\.\.\.+|\]\s*(?:…|\.\.\.|{_SAID})\s*\[|\)\s*(?:…|\.\.\.|{_SAID})\s*\(|�)"
+STOP = r"^[\"'”’»“)\]]*[.!?。！？]"
+LIST_NUMBER = r"^[.)]\d+\s*(?:\n|\z)"
 LEAST_SEEN, END_SHARE = 3, 0.34
 PIECE = "\\n+|(?<=[.!?])\\s+"
 
 
 #: Blanks and invisible characters, one by one: trimming by a set is far cheaper than by a pattern.
 BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0xAD, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x202F), 0x202F, 0x205F, *range(0x2060, 0x2065), 0x3000, 0xFEFF]))
-#: Endings are read off so many last visible characters.
-TAIL = 40
 
 
 def visible(text: Column) -> Column:
     return F.trim(text, F.lit(BLANKS))
 
 
-def _tail(v: Column) -> Column:
-    return F.when(F.length(v) > TAIL, F.substring(v, -TAIL, TAIL)).otherwise(v)
-
-
 def is_empty(text: Column) -> Column:
     """Null, or nothing but blanks, invisible characters, punctuation or a placeholder for a missing value."""
-    v = visible(text)
-    bare = F.lower(F.regexp_replace(v, f"[\\s\\p{{Z}}{INVISIBLE}<>\\[\\](){{}}\"'`_*#|]+", ""))
-    return text.isNull() | ~text.rlike(r"[\p{L}\p{N}]") | ((F.length(v) < 2 * TAIL) & bare.isin(PLACEHOLDERS))
+    around = f"\\s\\p{{Z}}{INVISIBLE}<>\\[\\](){{}}\"'`_*#|"
+    short = text.rlike(f"^[{around}]*+(?:[^{around}][{around}]*+){{0,{max(map(len, PLACEHOLDERS))}}}\\z")  # so few others that it can be one
+    bare = F.lower(F.regexp_replace(text, f"[{around}]+", ""))
+    return text.isNull() | ~text.rlike(r"[\p{L}\p{N}]") | (short & bare.isin(PLACEHOLDERS))
 
 
 def lengths(text: Column) -> dict[str, Column]:
@@ -76,8 +75,8 @@ def lengths(text: Column) -> dict[str, Column]:
 
 def _ended(visible_text: Column) -> Column:
     """Closed by a full stop that is no cut mark, nor part of a bare list number."""
-    end = _tail(visible_text)
-    return end.rlike(STOP) & ~end.rlike(CUT_MARK) & ~end.rlike(r"(?:^|\n)\s*\d+[.)]\z")
+    end = F.reverse(visible_text)
+    return end.rlike(STOP) & ~end.rlike(CUT_MARK) & ~end.rlike(LIST_NUMBER)
 
 
 def open_values(values: DataFrame) -> DataFrame:
@@ -238,7 +237,7 @@ def open_verdicts(sentences: DataFrame) -> DataFrame:
 
 
 def truncated(values: DataFrame, statistics_from: DataFrame | None = None) -> DataFrame:
-    """``values`` (source, field_name, text and any other columns) that were cut, with ``evidence``: mark, ending or limit.
+    """``values`` (source, field_name, text and any other columns) that were cut, with ``evidence``: limit, mark or ending, the first that holds.
 
     Null, blank and placeholder values are never cut, nor are values closed by a full stop. Repeated rows come out as often as they
     come in; a column ``evidence`` of theirs is replaced. ``statistics_from`` (a table with text) adds sentences to learn endings from."""
@@ -246,13 +245,13 @@ def truncated(values: DataFrame, statistics_from: DataFrame | None = None) -> Da
     sentences = checkpointed(sentence_counts(texts))
     verdicts = open_verdicts(sentences)
     names = [c for c in values.columns if c != "evidence"]
-    unfinished = checkpointed(open_values(values).select(*names, _tail(F.col("_v")).rlike(CUT_MARK).alias("_marked"), F.try_element_at(_pieces(masked(F.col("_v"))), F.lit(-1)).alias("_piece")))
+    unfinished = checkpointed(open_values(values).select(*names, F.reverse("_v").rlike(CUT_MARK).alias("_marked"), F.try_element_at(_pieces(masked(F.col("_v"))), F.lit(-1)).alias("_piece")))
     limits = _limits(unfinished).groupBy(F.col("source").alias("_s"), F.col("field_name").alias("_f")).agg(F.collect_list(F.struct("encoding", "limit")).alias("_limits"))
     verdicts = verdicts.select(F.col("piece").alias("_piece"), F.col("unfinished").alias("_unfinished"))
     encoded = F.map_from_arrays(F.array(*[F.lit(k) for k in lengths(F.lit(""))]), F.array(*lengths(F.col("text")).values()))
     joined = unfinished.join(verdicts, "_piece", "left").join(limits, F.col("source").eqNullSafe(F.col("_s")) & (F.col("field_name") == F.col("_f")), "left")
     at_limit = F.coalesce(F.exists("_limits", lambda x: F.element_at(encoded, x["encoding"]) == x["limit"]), F.lit(False))
-    evidence = F.when(F.col("_marked"), "mark").when(F.coalesce("_unfinished", F.lit(False)), "ending").when(at_limit, "limit")
+    evidence = F.when(at_limit, "limit").when(F.col("_marked"), "mark").when(F.coalesce("_unfinished", F.lit(False)), "ending")
     return joined.withColumn("evidence", evidence).where(F.col("evidence").isNotNull()).select(*names, "evidence")
 
 
@@ -262,9 +261,12 @@ def stacked(rows: DataFrame, key: str, source: str, fields: list[str]) -> DataFr
 
 
 def cut_rates(values: DataFrame, cut: DataFrame) -> DataFrame:
-    """Per source and field the values, the cut ones and their rate; null texts are no values. A null source is a source of its own."""
+    """Per source and field the values, the cut ones by evidence and their rate; null texts are no values. A null source is a source of
+    its own."""
     all_counts = values.where(F.col("text").isNotNull()).groupBy("source", "field_name").agg(F.count("*").alias("n_values"))
-    cut_counts = cut.groupBy(F.col("source").alias("_s"), F.col("field_name").alias("_f")).agg(F.count("*").alias("n"))
+    kinds = ["limit", "mark", "ending"]
+    by_kind = [F.count(F.when(F.col("evidence") == k, 1)).alias(f"by_{k}") for k in kinds]
+    cut_counts = cut.groupBy(F.col("source").alias("_s"), F.col("field_name").alias("_f")).agg(F.count("*").alias("n"), *by_kind)
     joined = all_counts.join(cut_counts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("field_name") == F.col("_f")), "left")
-    n = F.coalesce("n", F.lit(0))
-    return joined.select("source", "field_name", "n_values", n.alias("n_cut"), (n / F.col("n_values")).alias("cut_rate"))
+    none = lambda c: F.coalesce(c, F.lit(0))
+    return joined.select("source", "field_name", "n_values", none("n").alias("n_cut"), *[none(f"by_{k}").alias(f"by_{k}") for k in kinds], (none("n") / F.col("n_values")).alias("cut_rate"))
