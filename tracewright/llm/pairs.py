@@ -38,6 +38,10 @@ REFUSALS = [
     "kann ich dabei nicht helfen", "kann ich nicht beantworten", "darf ich diese Frage nicht beantworten", "ist es mir nicht möglich hier fortzufahren", "ich kann dabei nicht helfen", "ich kann diese Frage nicht beantworten",
     "je ne peux pas répondre à cette demande", "je ne peux pas vous aider", "je ne suis pas en mesure d'aider avec cela", "il m'est impossible de continuer ici", "je ne suis pas autorisé à répondre",
     "no puedo ayudar con esta petición", "no puedo responder a esto", "no estoy autorizado a responder a esto", "no me es posible continuar aquí",
+    "no puedo ayudarte con eso", "no puedo ayudarle con esto", "lo siento pero no puedo", "this falls outside what I do", "that is outside of what I can do", "I'm sorry but I can't", "I cannot comply with this request",
+    "ich kann Ihnen dabei leider nicht helfen", "es tut mir leid aber ich kann nicht", "das kann ich leider nicht beantworten", "je suis désolé mais je ne peux pas", "je ne peux pas t'aider avec cela",
+    "não posso ajudar com isso", "não posso responder a esta pergunta", "não estou autorizado a responder", "ik kan je hier niet mee helpen", "ik kan deze vraag niet beantwoorden", "ik mag deze vraag niet beantwoorden",
+    "я не могу помочь с этим", "я не могу ответить на этот вопрос", "мне не разрешено отвечать на этот вопрос",
 ]
 _TEMPLATES = [words(x) for x in REFUSALS]
 #: Words of each template that an alignment needs.
