@@ -44,7 +44,8 @@ def p2_repetition(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p2_repetition(spark, sf).where("repeated_share > 0.35").select("row_no")
+    """The traces that cleaning rejects, as it would take too much of them, and of these the ones in which it is repetition that goes."""
+    return p2_repetition(spark, sf).where("rejected").where("repeated_share > 0.35").select("row_no")
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,6 +127,16 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(_read(spark, sf, "documents"), _read(spark, sf, "mix_targets"))[1]
 
 
+def p7_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of every mix: no document beyond the cap of its source, no document of another source used, and every source that
+    has documents within a hundredth of what it was to give."""
+    uses, report = mixing.mix(_read(spark, sf, "documents"), _read(spark, sf, "mix_targets"))
+    caps = _read(spark, sf, "mix_targets").select("source", "max_repeats")
+    over = uses.join(F.broadcast(caps), "source").groupBy("source").agg(F.count(F.when(F.col("uses") > F.col("max_repeats"), 1)).alias("n"))
+    planned = report.where("max_repeats IS NOT NULL").join(over, "source", "left")
+    return planned.select("source", "target_share", "documents", F.coalesce("n", F.lit(0)).alias("documents_over_cap"), "met")
+
+
 def _languages(spark: SparkSession, sf: str, stretches: bool = False) -> DataFrame:
     documents = _read(spark, sf, "documents")
     return language.detect(documents, "doc_id", "text", language.fit_documents(documents), "lang", stretches=stretches)
@@ -164,6 +175,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_kept": p6_kept,
     "p7_uses": p7_uses,
     "p7_shares": p7_shares,
+    "p7_checks": p7_checks,
     "p8_found": p8_found,
     "p8_documents": p8_documents,
     "p8_segments": p8_segments,
@@ -177,6 +189,7 @@ c AS (SELECT row_no, count(DISTINCT i + k) AS n FROM r, (SELECT unnest([0, 1, 2,
 _ITEM_WORDS = f"(coalesce(len(regexp_extract_all(prompt, '[^{W}]+')), 0) + coalesce(len(regexp_extract_all(completion, '[^{W}]+')), 0))"
 
 ORACLE: dict[str, str] = {
+    "p7_checks": "SELECT t.source, target_share, count(doc_id) AS documents, 0 AS documents_over_cap, count(doc_id) > 0 AS met FROM mix_targets t LEFT JOIN documents d ON d.source = t.source GROUP BY ALL",
     "p5_found": f"SELECT container_kind, training_id FROM training, containers WHERE {_ITEM_WORDS} > capacity_words",
     "p2_found": f"{_TRACE_WORDS} SELECT row_no FROM c JOIN w USING (row_no) WHERE n > 0.35 * len(w)",
 }
