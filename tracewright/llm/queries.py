@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import language, leakage, mixing, packing, pairs, repetition, splits, truncation
 from tracewright.oracle import W
+from tracewright.runtime import checkpointed, shared_folder
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -19,16 +21,37 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return splits.same_questions(_read(spark, sf, "questions"))
 
 
-def _split_rows(spark: SparkSession, sf: str) -> DataFrame:
-    records = splits.question_records(_read(spark, sf, "questions"), _read(spark, sf, "transitions"))
+def _batches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Split rows with ``batch`` and ``was``, the split a row's component had after the first batch; and the component table.
+
+    All records come in two batches, as they would in two months: questions and transitions of the earlier half of the time, then the
+    rest, against the table that the first left in the shared folder."""
+    questions, transitions = _read(spark, sf, "questions"), _read(spark, sf, "transitions")
+    records = splits.question_records(questions, transitions)
+    times = questions.select(F.lit("questions").alias("table_name"), F.col("question_id").alias("record_id"), F.col("created_at").alias("at"))
+    times = times.unionByName(transitions.select(F.lit("transitions").alias("table_name"), F.col("row_no").alias("record_id"), F.col("ingested_at").alias("at")))
+    span = times.agg(F.min("at").cast("double").alias("a"), F.max("at").cast("double").alias("b")).first()
+    middle = F.lit(((span["a"] or 0) + (span["b"] or 0)) / 2)
+    early = times.select("table_name", "record_id", F.coalesce(F.col("at").cast("double") <= middle, F.lit(True)).alias("early"))
+    every = checkpointed(records.join(early, ["table_name", "record_id"]).withColumn("counts", F.col("table_name") == "transitions"))
     targets = {r["split_name"]: r["target_share"] for r in _read(spark, sf, "split_targets").collect()}
-    split, _ = splits.split_records(records.withColumn("counts", F.col("table_name") == "transitions"), targets, counted="counts")
-    return split.where("counts")
+    folder = f"{shared_folder(spark)}/components-{uuid.uuid4().hex}"
+    first = splits.split_into(every.where("early"), targets, folder, "counts")
+    before = checkpointed(first.select("table_name", "record_id", F.col("split").alias("was"), F.col("keys")[0].alias("_key")))
+    later = splits.split_into(every.where("NOT early"), targets, folder, "counts")
+    stored = splits.stored_components(spark, folder)
+    now = checkpointed(stored.table())
+    again = splits.spread(before, now.withColumnRenamed("node", "_key"), "_key").select("table_name", "record_id", "component", "split", "was", F.lit(1).alias("batch"))
+    return again.unionByName(later.select("table_name", "record_id", "component", "split", F.lit(None).cast("string").alias("was"), F.lit(2).alias("batch"))), now
+
+
+def _split_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return _batches(spark, sf)[0].where("table_name = 'transitions'")
 
 
 def p1_splits(spark: SparkSession, sf: str) -> DataFrame:
-    """The split of every transitions row."""
-    return _split_rows(spark, sf).select(F.col("record_id").alias("row_no"), "component", "split")
+    """The split of every transitions row after both batches; rows of a conflict between the batches are in quarantine."""
+    return _split_rows(spark, sf).select(F.col("record_id").alias("row_no"), "component", "split", "batch")
 
 
 def p1_shares(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,6 +61,23 @@ def p1_shares(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(F.broadcast(total)).select("split", "n_rows", "n_components", (F.col("n_rows") / F.col("all_rows")).alias("share"))
 
 
+def p1_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold after both batches: every row has one split, no question (by number or text) has rows in two, and of the first batch
+    none has moved but into quarantine."""
+    rows = checkpointed(_split_rows(spark, sf))
+    told = rows.join(_read(spark, sf, "transitions").select(F.col("row_no").alias("record_id"), "question_id", "question"), "record_id")
+    apart = lambda c: told.where(F.col(c).isNotNull()).groupBy(c).agg(F.min("split").alias("a"), F.max("split").alias("b")).agg(F.count(F.when(F.col("a") != F.col("b"), 1)).alias("n"))
+    one = lambda name, df: df.select(F.lit(name).alias("check"), F.col("n").cast("long").alias("n"))
+    moved = F.col("was").isNotNull() & (F.col("was") != F.col("split")) & (F.col("split") != splits.QUARANTINE)
+    return (
+        one("rows", rows.agg(F.countDistinct("record_id").alias("n")))
+        .unionByName(one("rows without a split", rows.agg(F.count(F.when(F.col("split").isNull(), 1)).alias("n"))))
+        .unionByName(one("questions apart by number", apart("question_id")))
+        .unionByName(one("questions apart by text", apart("question")))
+        .unionByName(one("moved", rows.agg(F.count(F.when(moved, 1)).alias("n"))))
+    )
+
+
 def p2_repetition(spark: SparkSession, sf: str) -> DataFrame:
     """Share of repeated words of every trace, and what line-first cleaning removes."""
     return repetition.repetition(_read(spark, sf, "transitions"), "row_no", "generated_trace")
@@ -161,6 +201,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_splits": p1_splits,
     "p1_shares": p1_shares,
+    "p1_checks": p1_checks,
     "p2_found": p2_found,
     "p2_repetition": p2_repetition,
     "p3_found": p3_found,
@@ -189,6 +230,7 @@ c AS (SELECT row_no, count(DISTINCT i + k) AS n FROM r, (SELECT unnest([0, 1, 2,
 _ITEM_WORDS = f"(coalesce(len(regexp_extract_all(prompt, '[^{W}]+')), 0) + coalesce(len(regexp_extract_all(completion, '[^{W}]+')), 0))"
 
 ORACLE: dict[str, str] = {
+    "p1_checks": """SELECT 'rows' AS "check", count(DISTINCT row_no) AS n FROM transitions UNION ALL SELECT * FROM (VALUES ('rows without a split', 0), ('questions apart by number', 0), ('questions apart by text', 0), ('moved', 0))""",
     "p7_checks": "SELECT t.source, target_share, count(doc_id) AS documents, 0 AS documents_over_cap, count(doc_id) > 0 AS met FROM mix_targets t LEFT JOIN documents d ON d.source = t.source GROUP BY ALL",
     "p5_found": f"SELECT container_kind, training_id FROM training, containers WHERE {_ITEM_WORDS} > capacity_words",
     "p2_found": f"{_TRACE_WORDS} SELECT row_no FROM c JOIN w USING (row_no) WHERE n > 0.35 * len(w)",

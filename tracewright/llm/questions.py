@@ -1,9 +1,12 @@
 """Keys under which differently written forms of one question meet.
 
 A question is brought to words; known framing and synonyms are folded; a word that is rare in its language and one slip of the pen
-(a letter left out, doubled, wrong, or two swapped) away from common words is read as each of those. The sentences in every order give
-the keys, so a form without punctuation, or with its sentences moved, shares a key with the plain form. Figures, persons and things
-stay, in place: other facts give other keys.
+(a letter left out, doubled, wrong, or two swapped) away from common words is read as each of those. Each reading's sentences, sorted,
+give a key, so forms with their sentences moved share it. Figures, persons and things stay, in place: other facts give other keys.
+
+A form written in a single sentence, without the points, and one with more than ``MOST_READINGS`` readings are compared instead, with
+the forms that have the same words but for words that can be misread for each other. Such bags are small: all that differs is the order
+of the sentences, the points and the slips; copies are compared once.
 
 Two passes over the questions. The first counts words; only common words are collected and broadcast, and there are at most
 ``words per question / COMMON`` of them in a language, whatever the number of questions.
@@ -12,6 +15,7 @@ Two passes over the questions. The first counts words; only common words are col
 from __future__ import annotations
 
 import itertools
+import json
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -22,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.words import plain
+from tracewright.runtime import checkpointed
 
 #: A word is common from this share of a language's questions on, and in more than ``LEAST`` of them.
 COMMON, LEAST = 0.002, 3
-MOST_ORDERS, MOST_READINGS = 4, 16
+#: A form of more readings isn't keyed by each, but compared.
+MOST_READINGS = 16
 _WORD = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+(?:'[^\W\d_]+)*")
 _SENTENCE = re.compile(r"[.!?¿¡:;\]\[]+(?=\D|$)")
 #: Words put around a question, as they stand at its beginning or its end.
@@ -122,24 +128,106 @@ class Speller:
         return self._kept[key]
 
 
-def keys(text: str, lang: str, speller: Speller) -> list[int]:
-    parts = unframed(sentences(text))
+def classes(common: dict[str, int]) -> dict[str, str]:
+    """For every common word the name of its class: words that one word can be read as are in one class, as two deletions bring them
+    together. A word's class is the same whichever of its readings is taken."""
+    root = {w: w for w in common}
+
+    def find(w: str) -> str:
+        while root[w] != w:
+            root[w] = w = root[root[w]]
+        return w
+
+    met: dict[str, str] = {}
+    for w in common:
+        if w[0].isdigit() or len(w) < 2:
+            continue
+        once = Speller._shorter(w)
+        for v in once.union(*(Speller._shorter(x) for x in once)):
+            if v in met:
+                a, b = sorted((find(w), find(met[v])))
+                root[b] = a
+            elif len(v) > 0:
+                met[v] = w
+    return {w: find(w) for w in common}
+
+
+class Form:
+    """A question as sentences of words, each with its readings."""
+
+    def __init__(self, text: str, lang: str, speller: Speller) -> None:
+        self.parts = [[speller.readings(lang, w) for w in p] for p in unframed(sentences(text))]
+        self.count = 1
+        for c in itertools.chain(*self.parts):
+            self.count *= len(c)
+
+    def plain(self) -> list[list[str]]:
+        """Each word as its most common reading, folded."""
+        return [folded([c[0] for c in p]) for p in self.parts]
+
+    def keys(self) -> list[int]:
+        """A key for each reading, whatever the order of the sentences; a form of too many readings has one, of the most common ones."""
+        if not self.parts:
+            return []
+        parts = self.parts if self.count <= MOST_READINGS else [[c[:1] for c in p] for p in self.parts]
+        found: set[int] = set()
+        for reading in itertools.product(*itertools.chain(*parts)):
+            words = iter(reading)
+            found.add(_hash(" ".join(sorted(" ".join(folded(list(itertools.islice(words, len(p))))) for p in parts))))
+        return sorted(found)
+
+    def readings(self) -> list[list[list[str]]]:
+        """The sentences with the readings of every word; a sentence whose phrases are folded has its most common reading only."""
+        out = []
+        for p in self.parts:
+            first = [c[0] for c in p]
+            bare = folded(first)
+            out.append(p if bare == first else [[w] for w in bare])
+        return out
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
+def _fits(a: list[list[str]], b: list[list[str]]) -> bool:
+    return len(a) == len(b) and all(not set(x).isdisjoint(y) for x, y in zip(a, b))
+
+
+def _laid(parts: list[list[list[str]]], line: list[list[str]], at: int = 0) -> bool:
+    """Whether the sentences, each once and in some order, make up ``line`` from ``at`` on."""
     if not parts:
-        return []
-    choices = [[speller.readings(lang, w) for w in p] for p in parts]
-    count = 1
-    for c in itertools.chain(*choices):
-        count *= len(c)
-    found: set[int] = set()
-    if count > MOST_READINGS:  # a text of many slips: each word as its most common reading
-        choices = [[c[:1] for c in p] for p in choices]
-    for reading in itertools.product(*itertools.chain(*choices)):
-        words, out = iter(reading), []
-        for p in parts:
-            out.append(" ".join(folded(list(itertools.islice(words, len(p))))))
-        orders = itertools.permutations(out) if len(out) <= MOST_ORDERS else (out, sorted(out))
-        found.update(xxhash.xxh64_intdigest(" ".join(o)) - (1 << 63) for o in orders)
-    return sorted(found)
+        return at == len(line)
+    tried = []
+    for i, p in enumerate(parts):
+        if p not in tried and _fits(p, line[at : at + len(p)]):
+            tried.append(p)
+            if _laid(parts[:i] + parts[i + 1 :], line, at + len(p)):
+                return True
+    return False
+
+
+def same(a: list[list[list[str]]], b: list[list[list[str]]]) -> bool:
+    """Whether two forms have a reading in common: sentence by sentence in some order, or with one of them in a single sentence."""
+    if len(a) == 1:
+        return _laid(b, a[0])
+    if len(b) == 1:
+        return _laid(a, b[0])
+    return _paired(a, b)
+
+
+def _paired(a: list[list[list[str]]], b: list[list[list[str]]]) -> bool:
+    if len(a) != len(b):
+        return False
+    if not a:
+        return True
+    tried = []
+    for i, p in enumerate(b):
+        if p not in tried and _fits(a[0], p):
+            tried.append(p)
+            if _paired(a[1:], b[:i] + b[i + 1 :]):
+                return True
+    return False
 
 
 def question_keys(questions: DataFrame, key: str = "question_id", text: str = "question", lang: str = "lang") -> DataFrame:
@@ -162,12 +250,39 @@ def question_keys(questions: DataFrame, key: str = "question_id", text: str = "q
     common: dict[str, dict[str, int]] = defaultdict(dict)
     for r in counted.where("w <> ''").join(sizes, "l").where((F.col("n") > LEAST) & (F.col("n") > COMMON * F.col("size"))).select("l", "w", "n").collect():
         common[r["l"]][r["w"]] = r["n"]
-    shared = questions.sparkSession.sparkContext.broadcast(dict(common))
+    shared = questions.sparkSession.sparkContext.broadcast((dict(common), {lang_: classes(known) for lang_, known in common.items()}))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        speller = Speller(shared.value)
+        known, class_of = shared.value
+        speller = Speller(known)
         for batch in batches:
-            yield pd.DataFrame({key: batch[key], "keys": [keys(t, lang_, speller) for t, lang_ in zip(batch["_t"], batch["_l"])]})
+            rows = []
+            for k, t, lang_ in zip(batch[key], batch["_t"], batch["_l"]):
+                form = Form(t, lang_, speller)
+                names = class_of.get(lang_, {})
+                bag = " ".join(sorted(names.get(w, w) for p in form.plain() for w in p))
+                rows.append((k, form.keys(), _hash(lang_ + " " + bag), len(form.parts) == 1, form.count > MOST_READINGS, json.dumps(form.readings(), ensure_ascii=False)))
+            yield pd.DataFrame(rows, columns=[key, "keys", "bag", "single", "many", "form"])
 
     kind = questions.schema[key].dataType.simpleString()
-    return base.mapInPandas(run, f"`{key}` {kind}, keys array<bigint>").where(F.size("keys") > 0)
+    made = checkpointed(base.mapInPandas(run, f"`{key}` {kind}, keys array<bigint>, bag long, single boolean, many boolean, form string").where(F.size("keys") > 0))
+    return with_looked_at(made, key)
+
+
+def with_looked_at(made: DataFrame, key: str) -> DataFrame:
+    """Adds the keys that only a comparison finds, of forms of the same words: one in a single sentence has a key with the forms whose
+    sentences it strings together, and one of too many readings with those that share one. Only different forms are compared."""
+    open_ = made.groupBy("bag").agg(F.min("single").alias("a"), F.max("single").alias("b"), F.max("many").alias("many"), F.min("form").alias("x"), F.max("form").alias("y")).where("x <> y AND (many OR a <> b)").select("bag")
+    forms = made.join(open_, "bag").select("bag", "form", F.col("keys")[0].alias("k")).distinct()
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        rows = [(k, json.loads(f)) for f, k in sorted(zip(group["form"], group["k"]))]
+        settled = [i for i, (_, f) in enumerate(rows) if len(f) > 1 and all(len(c) == 1 for p in f for c in p)]
+        others = sorted(set(range(len(rows))) - set(settled))
+        # forms of several sentences with one reading meet by their keys: what remains is every other form against all
+        found = [(rows[i][0], rows[j][0]) for n, i in enumerate(others) for j in (*settled, *others[:n]) if same(rows[i][1], rows[j][1])]
+        return pd.DataFrame([(min(p), max(p)) for p in found if p[0] != p[1]], columns=["x", "k"]).astype("int64")
+
+    extra = forms.groupBy("bag").applyInPandas(compare, "x long, k long").groupBy("k").agg(F.collect_set("x").alias("more"))
+    first = made.select(key, "keys", F.col("keys")[0].alias("k"))
+    return first.join(extra, "k", "left").select(key, F.concat("keys", F.coalesce("more", F.array().cast("array<bigint>"))).alias("keys"))
