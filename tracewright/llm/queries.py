@@ -138,6 +138,20 @@ def p5_usage(spark: SparkSession, sf: str) -> DataFrame:
     return packing.usage(packing.pack(_training_items(spark, sf), kinds), kinds)
 
 
+def p5_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of every packing: each item whole and once, in as few pieces as its kind allows, no container over its capacity, no
+    place taken twice."""
+    kinds, items = _read(spark, sf, "containers"), _training_items(spark, sf)
+    packed = checkpointed(packing.pack(items, kinds))
+    capacity = F.broadcast(kinds.select("container_kind", F.col("capacity_words").alias("capacity")))
+    held = packed.groupBy("container_kind", "container_id").agg(F.sum("words").alias("words"), F.count("*").alias("n"), F.countDistinct("position").alias("places"), F.max("position").alias("last")).join(capacity, "container_kind")
+    bad = held.groupBy("container_kind").agg(F.count(F.when((F.col("words") > F.col("capacity")) | (F.col("n") != F.col("places")) | (F.col("n") != F.col("last")), 1)).alias("bad_containers"))
+    each = packed.groupBy("container_kind", "item_id").agg(F.sum("words").alias("got"), F.count("*").alias("pieces")).join(items, "item_id").join(capacity, "container_kind")
+    least = F.greatest(F.lit(1), F.ceil(F.col("words") / F.col("capacity")))
+    wrong = each.groupBy("container_kind").agg(F.count("*").alias("items"), F.sum("got").alias("words"), F.sum("pieces").alias("pieces"), F.count(F.when((F.col("got") != F.col("words")) | (F.col("pieces") != least), 1)).alias("bad_items"))
+    return wrong.join(bad, "container_kind")
+
+
 def _leaks(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaked(_read(spark, sf, "documents"), _read(spark, sf, "eval_items"))
 
@@ -211,6 +225,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_packed": p5_packed,
     "p5_usage": p5_usage,
+    "p5_checks": p5_checks,
     "p6_found": p6_found,
     "p6_items": p6_items,
     "p6_kept": p6_kept,
@@ -230,6 +245,8 @@ c AS (SELECT row_no, count(DISTINCT i + k) AS n FROM r, (SELECT unnest([0, 1, 2,
 _ITEM_WORDS = f"(coalesce(len(regexp_extract_all(prompt, '[^{W}]+')), 0) + coalesce(len(regexp_extract_all(completion, '[^{W}]+')), 0))"
 
 ORACLE: dict[str, str] = {
+    "p5_checks": f"""SELECT container_kind, count(*) AS items, sum(w)::BIGINT AS words, sum(greatest(1, ceil(w / capacity_words)))::BIGINT AS pieces, 0 AS bad_containers, 0 AS bad_items
+ FROM (SELECT training_id, {_ITEM_WORDS} AS w FROM training), containers GROUP BY container_kind""",
     "p1_checks": """SELECT 'rows' AS "check", count(DISTINCT row_no) AS n FROM transitions UNION ALL SELECT * FROM (VALUES ('rows without a split', 0), ('questions apart by number', 0), ('questions apart by text', 0), ('moved', 0))""",
     "p7_checks": "SELECT t.source, target_share, count(doc_id) AS documents, 0 AS documents_over_cap, count(doc_id) > 0 AS met FROM mix_targets t LEFT JOIN documents d ON d.source = t.source GROUP BY ALL",
     "p5_found": f"SELECT container_kind, training_id FROM training, containers WHERE {_ITEM_WORDS} > capacity_words",
