@@ -83,10 +83,12 @@ def parse_decision(reply: Column, strict: bool = False) -> Column:
         return F.when(parsed.isNull(), struct(no, none, none, F.lit(BAD_JSON), no)).otherwise(found)
 
     def lone(body: Column) -> Column:
-        """The parser stops after one value and takes anything behind it; only a lone value parses inside both kinds of brackets."""
+        """The parser stops after one value and takes anything behind it. A body whose only closing bracket is its last letter leaves it
+        nothing to stop before the end; any other is a lone value if it also parses in brackets of the other kind."""
         wrapped = F.try_parse_json(F.concat(F.lit('{"v":'), body, F.lit("}")))
         listed = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
-        return F.when((body != "") & listed.isNotNull(), wrapped)
+        plain = (F.instr(body, "}") == F.length(body)) & (F.instr(body, "]") == 0)
+        return F.when((body != "") & (plain | listed.isNotNull()), wrapped)
 
     without = (F.instr(reply, "{") == 0) | (F.instr(reply, "}") == 0)
     return F.when(without, struct(no, none, none, F.lit(NOT_JSON), no)).otherwise(let(F.regexp_extract(reply, r"(?s)\{.*\}", 0), lambda body: let(lone(body), read)))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 # --- fixed values: white space as Python's str.strip sees it; line ends as str.splitlines sees them ---
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 # --- fixed values: unit markers, sentence shape and clause openers of the data format ---
 UNIT_MARKER = rf"(?U)^[{SPACE}]*(?:[-*][{SPACE}]+|\d+[).{SPACE}-]+)"
@@ -28,8 +29,9 @@ CLAUSE_BREAK = (
 
 
 def strip(text: Column) -> Column:
-    """Remove Unicode white space at both ends (``trim`` only knows U+0020)."""
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    """Remove Unicode white space at both ends (``trim`` alone only knows U+0020). Trimming by a set looks at the ends only; a pattern
+    would be tried at every character."""
+    return F.trim(text, F.lit(WHITE))
 
 
 def lines(text: Column) -> Column:
