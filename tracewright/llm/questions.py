@@ -161,29 +161,36 @@ class Form:
         for c in itertools.chain(*self.parts):
             self.count *= len(c)
 
-    def plain(self) -> list[list[str]]:
-        """Each word as its most common reading, folded."""
-        return [folded([c[0] for c in p]) for p in self.parts]
+        #: Each word as its most common reading, folded.
+        self.plain = [folded([c[0] for c in p]) for p in self.parts]
 
     def keys(self) -> list[int]:
         """A key for each reading, whatever the order of the sentences; a form of too many readings has one, of the most common ones."""
         if not self.parts:
             return []
-        parts = self.parts if self.count <= MOST_READINGS else [[c[:1] for c in p] for p in self.parts]
+        if self.count == 1 or self.count > MOST_READINGS:
+            return [_key(self.plain)]
         found: set[int] = set()
-        for reading in itertools.product(*itertools.chain(*parts)):
+        for reading in itertools.product(*itertools.chain(*self.parts)):
             words = iter(reading)
-            found.add(_hash(" ".join(sorted(" ".join(folded(list(itertools.islice(words, len(p))))) for p in parts))))
+            found.add(_key([folded(list(itertools.islice(words, len(p)))) for p in self.parts]))
         return sorted(found)
 
     def readings(self) -> list[list[list[str]]]:
         """The sentences with the readings of every word; a sentence whose phrases are folded has its most common reading only."""
-        out = []
-        for p in self.parts:
-            first = [c[0] for c in p]
-            bare = folded(first)
-            out.append(p if bare == first else [[w] for w in bare])
-        return out
+        return [p if [c[0] for c in p] == bare else [[w] for w in bare] for p, bare in zip(self.parts, self.plain)]
+
+    def written(self) -> str:
+        """The readings as a text; words and sentences alone where there is one reading."""
+        return json.dumps(self.readings(), ensure_ascii=False) if self.count > 1 else "\n".join(map(" ".join, self.plain))
+
+
+def read(written: str) -> list[list[list[str]]]:
+    return json.loads(written) if written.startswith("[[") else [[[w] for w in p.split(" ")] for p in written.split("\n")]
+
+
+def _key(parts: list[list[str]]) -> int:
+    return _hash(" ".join(sorted(map(" ".join, parts))))
 
 
 def _hash(text: str) -> int:
@@ -260,8 +267,8 @@ def question_keys(questions: DataFrame, key: str = "question_id", text: str = "q
             for k, t, lang_ in zip(batch[key], batch["_t"], batch["_l"]):
                 form = Form(t, lang_, speller)
                 names = class_of.get(lang_, {})
-                bag = " ".join(sorted(names.get(w, w) for p in form.plain() for w in p))
-                rows.append((k, form.keys(), _hash(lang_ + " " + bag), len(form.parts) == 1, form.count > MOST_READINGS, json.dumps(form.readings(), ensure_ascii=False)))
+                bag = " ".join(sorted(names.get(w, w) for p in form.plain for w in p))
+                rows.append((k, form.keys(), _hash(lang_ + " " + bag), len(form.parts) == 1, form.count > MOST_READINGS, form.written()))
             yield pd.DataFrame(rows, columns=[key, "keys", "bag", "single", "many", "form"])
 
     kind = questions.schema[key].dataType.simpleString()
@@ -276,7 +283,7 @@ def with_looked_at(made: DataFrame, key: str) -> DataFrame:
     forms = made.join(open_, "bag").select("bag", "form", F.col("keys")[0].alias("k")).distinct()
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        rows = [(k, json.loads(f)) for f, k in sorted(zip(group["form"], group["k"]))]
+        rows = [(k, read(f)) for f, k in sorted(zip(group["form"], group["k"]))]
         settled = [i for i, (_, f) in enumerate(rows) if len(f) > 1 and all(len(c) == 1 for p in f for c in p)]
         others = sorted(set(range(len(rows))) - set(settled))
         # forms of several sentences with one reading meet by their keys: what remains is every other form against all
