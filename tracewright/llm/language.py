@@ -141,8 +141,8 @@ def forward_backward(emissions: np.ndarray, begins: np.ndarray, inside: np.ndarr
     for matrix, where in ((step_in, ~begins[:, 1:]), (step_out, begins[:, 1:])):
         use = where & live[:, 1:]
         left, right = alpha[:, :-1][use], (beta[:, 1:] * e[:, 1:])[use]
-        joint = left[:, :, None] * matrix[None] * right[:, None, :]
-        totals.append((joint / joint.sum((1, 2), keepdims=True)).sum(0) if len(joint) else np.zeros((k, k)))
+        whole = ((left @ matrix) * right).sum(1, keepdims=True)  # what the transitions of a place sum to
+        totals.append(matrix * ((left / whole).T @ right))
     return gamma, totals
 
 
