@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tracewright.llm import packing as P
@@ -74,3 +75,59 @@ def test_even_packings_are_whole_and_close():
     sizes = [int(rng.triangular(40, 136, 50)) for _ in range(2000)]
     assert len(P.build_even(sorted(range(2000), key=lambda i: -sizes[i]), sizes, 192).bins) <= 1.02 * sum(sizes) / 192
     assert P.build_even([], [], 10).bins == [] and P.build_even([0, 1], [0, 0], 10).bins == [[0, 1]]
+
+
+def triangular(n, seed):
+    rng = random.Random(seed)
+    return sorted((int(rng.triangular(40, 136, 50)) for _ in range(n)), reverse=True)
+
+
+def test_a_packing_one_over_the_least_is_bred_further(spark):
+    for n, capacity, seed in ((300, 192, 7), (400, 512, 11)):
+        sizes = triangular(n, seed)
+        least = -(-sum(sizes) // capacity)
+        assert len(P.build_even(list(range(n)), sizes, capacity).bins) == least + 1
+        assert max(P.evolve(sizes, capacity, [], 1)[0]) + 1 == least
+        kinds = spark.createDataFrame([("one", capacity)], "container_kind string, capacity_words int")
+        packed = P.pack(spark.createDataFrame(list(enumerate(sizes)), "item_id bigint, words int"), kinds)
+        assert [r.containers for r in P.usage(packed, kinds).collect()] == [least]
+
+
+def test_an_island_keeps_its_packings_between_epochs():
+    sizes = triangular(300, 4)  # one over the bound after an epoch
+    people = P.evolve(sizes, 192, [], 1)
+    assert len(people) == P.POPULATION and len({tuple(x) for x in people}) > 1
+    counts = [max(x) + 1 for x in people]
+    assert counts == sorted(counts) and max(P.evolve(sizes, 192, people, 2)[0]) + 1 <= counts[0]
+
+
+def test_children_and_mutants_are_whole():
+    rng = np.random.default_rng(5)
+    for capacity in (192, 5000, 100_000):
+        sizes = [int(x) for x in rng.integers(0, capacity // 2, 300)]
+        a, b = P.build(list(range(300)), sizes, capacity), P.build(list(range(299, -1, -1)), sizes, capacity)
+        before = [list(x) for x in a.bins]
+        for p in (P.crossover(a, b, sizes, capacity, rng), P.mutate(a, sizes, capacity, rng)):
+            assert sorted(i for x in p.bins for i in x) == list(range(300)) and a.bins == before
+            assert all(sum(sizes[i] for i in x) + r == capacity and r >= 0 for x, r in zip(p.bins, p.left))
+
+
+def test_loose_items_replace_items_of_a_container_they_fill_better():
+    sizes = [40, 30, 20, 60, 35]
+    for unit in (1, 1000):
+        bins, left = [[0, 1, 2]], [10 * unit]
+        loose = P.replace(bins, left, [3, 4], [s * unit for s in sizes])
+        assert sorted(bins[0] + loose) == [0, 1, 2, 3, 4] and sum(sizes[i] for i in bins[0]) == 100 and left == [0]
+
+
+def test_no_packing_has_fewer_than_the_least_containers():
+    def fits(sizes, room):
+        return not sizes or any(r >= sizes[0] and r not in room[:b] and fits(sizes[1:], [*room[:b], r - sizes[0], *room[b + 1 :]]) for b, r in enumerate(room))
+
+    rng = random.Random(3)
+    for _ in range(300):
+        capacity = rng.randrange(1, 30)
+        sizes = sorted((rng.randrange(0, capacity + 1) for _ in range(rng.randrange(1, 9))), reverse=True)
+        best = next(k for k in range(1, 10) if fits(sizes, [capacity] * k))
+        assert P.least_containers(sizes, capacity) <= best == max(P.evolve(sizes, capacity, [], 1)[0]) + 1
+    assert P.least_containers([60] * 5, 100) == 5 and P.least_containers([0, 0], 9) == 1

@@ -2,11 +2,12 @@
 
 Items are dealt to shards of about ``SHARD`` items. For each shard and kind of container some islands breed packings, the first of them
 built container by container: the largest item, then what fills the rest exactly, of sizes as even as can be, so that small items are
-left for small ones. A child takes whole well-filled containers of one parent into the other, containers of the other that hold one of
-these items are broken up, and what falls out is put back by best fit, largest first; a few badly filled containers are broken up now
-and then. Between epochs the best packings of an island move to the next one. Shards that need no more containers than must be, or one
-more, are done and breed no further. The badly filled containers of all shards are then dealt anew to shards of their own and packed once
-more, so shards leave no waste of their own.
+left for small ones. Parents are chosen by tournament. A child takes whole well-filled containers of one parent into the other, and
+containers of the other that hold one of these items are broken up; a mutant has a few badly filled containers and a few of any kind
+broken up. What falls out replaces items of containers that it fills better, and the rest is put back by best fit, largest first. Between
+epochs an island keeps its packings, and the best ones also move to the next island. A shard is done early only where a lower bound shows
+that no packing has fewer containers. The badly filled containers of all shards are then dealt anew to shards of their own and packed
+once more, so shards leave no waste of their own.
 
 An item above the capacity is split: full pieces fill containers, the rest is an item. The number of tasks follows the number of shards;
 a task works on one shard at a time.
@@ -24,12 +25,14 @@ from pyspark.sql import functions as F
 
 from tracewright.runtime import checkpointed
 
-SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION, CHILDREN, ELITE = 2000, 2, 2, 5, 4, 3, 2
+SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION, CHILDREN, MUTANTS, ELITE = 2000, 2, 2, 5, 4, 3, 2, 2
 WELL_FILLED, KEEP_FILLED, LEVELS = 0.97, 0.985, 2
-#: Islands a task breeds, one after the other; containers over the least number with which a shard is done.
-PER_TASK, OVER = 16, 1
+#: Islands a task breeds, one after the other.
+PER_TASK = 16
 #: Sums of sizes are kept as bits of one number up to this capacity.
 BITS = 1 << 14
+#: Numbers of items that leave a container and that enter it, in the order tried.
+EXCHANGES = sorted(((k, n) for k in range(4) for n in range(1, 4)), key=lambda x: (x[1] - x[0], x[1]))
 
 
 class Packing:
@@ -160,11 +163,84 @@ def build_even(order: list[int], sizes: list[int], capacity: int) -> Packing:
     return Packing(bins, left, capacity)
 
 
+def _sums(sizes: list[int]) -> list[int]:
+    """The sums of none, one, two and three of ``sizes``, as bits."""
+    made = [1, 0, 0, 0]
+    for s in sizes:
+        for k in (3, 2, 1):
+            made[k] |= made[k - 1] << s
+    return made
+
+
+def _gain(held: int, offered: int, room: int) -> int:
+    """The most, up to ``room``, by which a sum that is offered exceeds one that is held; 0 if none does. Tries the gains or the sums held,
+    whichever are fewer."""
+    room = min(room, offered.bit_length() - 1)
+    if room <= held.bit_count():
+        return next((g for g in range(room, 0, -1) if held << g & offered), 0)
+    best = 0
+    while held and best < room:
+        least = (held & -held).bit_length() - 1
+        best = max(best, (offered & (1 << least + room + 1) - 1).bit_length() - 1 - least)
+        held &= held - 1
+    return best
+
+
+def _picked(sizes: list[int], total: int, k: int) -> list[int]:
+    """Places of ``k`` of ``sizes`` that sum to ``total``, the largest as small as can be; there must be some."""
+    order = sorted(range(len(sizes)), key=sizes.__getitem__)
+    ranked = [sizes[j] for j in order]
+    at = {s: j for j, s in reversed(list(enumerate(ranked)))}
+
+    def pick(end: int, total: int, k: int) -> list[int] | None:
+        if k < 2:
+            return ([] if total == 0 else None) if k == 0 else [order[at[total]]] if at.get(total, end) < end else None
+        for j in range(bisect_left(ranked, -(-total // k), 0, end), end):  # the largest of them is their mean or more
+            if ranked[j] > total:
+                break
+            if (rest := pick(j, total - ranked[j], k - 1)) is not None:
+                return [order[j], *rest]
+        return None
+
+    found = pick(len(sizes), total, k)
+    assert found is not None
+    return found
+
+
+def replace(bins: list[list[int]], left: list[int], loose: list[int], sizes: list[int]) -> list[int]:
+    """Exchange up to three items of a container for up to three loose ones that fill it most, few for many before many for few, until no
+    container gains; what is loose then."""
+    made = _sums([sizes[i] for i in loose])
+    for b, own in enumerate(bins):
+        while left[b] > 0:
+            held = _sums([sizes[i] for i in own])
+            gain = _gain(held[0] | held[1] | held[2] | held[3], made[1] | made[2] | made[3], left[b])
+            if not gain:
+                break
+            out, into, hit = next((k, n, hit) for k, n in EXCHANGES if (hit := held[k] << gain & made[n]))
+            total = hit.bit_length() - 1
+            leave, enter = set(_picked([sizes[i] for i in own], total - gain, out)), set(_picked([sizes[i] for i in loose], total, into))
+            loose, own[:] = (
+                [i for j, i in enumerate(loose) if j not in enter] + [own[j] for j in leave],
+                [i for j, i in enumerate(own) if j not in leave] + [loose[j] for j in enter],
+            )
+            left[b] -= gain
+            made = _sums([sizes[i] for i in loose])
+    return loose
+
+
+def put_back(bins: list[list[int]], left: list[int], loose: list[int], sizes: list[int], capacity: int) -> Packing:
+    """Loose items into the containers: by exchange where that fills one better, the rest by best fit, largest first."""
+    loose = replace(bins, left, loose, sizes)
+    _best_fit(bins, left, sorted(loose, key=lambda i: -sizes[i]), sizes, capacity)
+    return Packing(bins, left, capacity)
+
+
 def crossover(a: Packing, b: Packing, sizes: list[int], capacity: int, rng: np.random.Generator) -> Packing:
-    """``a`` with some whole well-filled containers of ``b``."""
+    """``a`` with some whole well-filled containers of ``b``, up to about half of these."""
     limit = (1 - WELL_FILLED) * capacity
     good = [k for k, r in enumerate(b.left) if r <= limit] or [int(np.argmin(b.left))]
-    take = rng.choice(len(good), max(1, len(good) // 3), replace=False)
+    take = rng.choice(len(good), int(rng.integers(1, len(good) // 2 + 2)), replace=False)
     injected = [b.bins[good[k]] for k in take]
     bins = [list(x) for x in injected]
     left = [b.left[good[k]] for k in take]
@@ -172,24 +248,20 @@ def crossover(a: Packing, b: Packing, sizes: list[int], capacity: int, rng: np.r
     loose: list[int] = []
     for x, r in zip(a.bins, a.left):
         if taken.isdisjoint(x):
-            bins.append(x)
+            bins.append(list(x))
             left.append(r)
         else:
             loose += [i for i in x if i not in taken]
-    return _refilled(bins, left, loose, sizes, capacity, rng)
+    return put_back(bins, left, loose, sizes, capacity)
 
 
-def _refilled(bins: list[list[int]], left: list[int], loose: list[int], sizes: list[int], capacity: int, rng: np.random.Generator) -> Packing:
-    """Break up a few badly filled containers too, then put all loose items back."""
-    worst = sorted(range(len(left)), key=lambda k: -left[k])[: max(1, len(left) // 25)]
-    broken = {k for k in worst if left[k] > 0 and rng.random() < 0.7}
-    if broken:
-        loose = loose + [i for k in broken for i in bins[k]]
-    kept_bins = [list(x) for k, x in enumerate(bins) if k not in broken]
-    kept_left = [r for k, r in enumerate(left) if k not in broken]
-    loose.sort(key=lambda i: -sizes[i])
-    _best_fit(kept_bins, kept_left, loose, sizes, capacity)
-    return Packing(kept_bins, kept_left, capacity)
+def mutate(p: Packing, sizes: list[int], capacity: int, rng: np.random.Generator) -> Packing:
+    """``p`` with a few badly filled containers and a few of any kind broken up."""
+    few = max(1, len(p.left) // 25)
+    worst = sorted(range(len(p.left)), key=lambda k: -p.left[k])[:few]
+    broken = {k for k in worst if p.left[k] > 0 and rng.random() < 0.7} | set(rng.integers(0, len(p.left), few).tolist())
+    kept = [k for k in range(len(p.left)) if k not in broken]
+    return put_back([list(p.bins[k]) for k in kept], [p.left[k] for k in kept], [i for k in sorted(broken) for i in p.bins[k]], sizes, capacity)
 
 
 def _genome(p: Packing, n: int) -> list[int]:
@@ -207,19 +279,33 @@ def _packing(genome: list[int], sizes: list[int], capacity: int) -> Packing:
     return Packing(bins, [capacity - sum(sizes[i] for i in x) for x in bins], capacity)
 
 
+def least_containers(sizes: list[int], capacity: int) -> int:
+    """No packing has fewer containers. For each size up to half of the capacity: items that leave less than it hold a container alone, as do
+    others above half; what these can't take of the items from that size on needs more."""
+    arr = np.sort(np.array(sizes, dtype=np.int64))
+    total = np.concatenate([[0], np.cumsum(arr)])
+    n, half = len(arr), int(np.searchsorted(arr, capacity // 2, "right"))
+    start = np.searchsorted(arr, small := np.unique(arr[:half]))
+    alone = np.searchsorted(arr, capacity - small, "right")  # from here on nothing of that size fits beside
+    rest = total[half] - total[start] - ((alone - half) * capacity - (total[alone] - total[half]))
+    return int(max(-(-total[-1] // capacity), n - half, *(n - half + np.maximum(0, -(-rest // capacity))), n > 0))
+
+
 def evolve(sizes: list[int], capacity: int, immigrants: list[list[int]], seed: int) -> list[list[int]]:
-    """One epoch of one island; the best packings, best first, as container numbers by item."""
+    """One epoch of one island, whose packings and those that moved in are ``immigrants``; its packings, best first, as container numbers by
+    item. It ends early only where no packing has fewer containers."""
     rng = np.random.default_rng(seed)
     n = len(sizes)
     if not n:
         return []
-    least = -(-sum(sizes) // capacity)
+    least = least_containers(sizes, capacity)
     arr = np.array(sizes)
     first = build_even if capacity <= BITS else build
-    people = [_packing(g, sizes, capacity) for g in immigrants]
+    rank = lambda p: (len(p.bins), -p.score)
+    people = sorted((_packing(g, sizes, capacity) for g in immigrants), key=rank)
     if not people:
         people.append(first([int(i) for i in np.argsort(-arr, kind="stable")], sizes, capacity))
-    while len(people) < POPULATION and len(people[0].bins) > least + OVER:
+    while len(people) < POPULATION and len(people[0].bins) > least:
         # some containers of the first one are kept, the other items packed by best fit in the order of a noisy size
         kept = rng.random(len(people[0].bins)) < 0.7
         bins = [list(x) for x, k in zip(people[0].bins, kept) if k]
@@ -228,17 +314,19 @@ def evolve(sizes: list[int], capacity: int, immigrants: list[list[int]], seed: i
         left = [r for r, k in zip(people[0].left, kept) if k]
         _best_fit(bins, left, loose, sizes, capacity)
         people.append(Packing(bins, left, capacity))
-    rank = lambda p: (len(p.bins), -p.score)
     people.sort(key=rank)
     for _ in range(GENERATIONS):
-        if len(people[0].bins) <= least + OVER:
+        if len(people[0].bins) <= least:
             break
-        children = []
+        born = []
         for _ in range(CHILDREN):
-            x, y = sorted(rng.choice(len(people), 2, replace=False)) if len(people) > 1 else (0, 0)
-            children.append(crossover(people[x], people[y], sizes, capacity, rng))
-        people = sorted(people + children, key=rank)[:POPULATION]
-    return [_genome(p, n) for p in people[:ELITE]]
+            # the better of any two is a parent, the better of any two others its mate
+            x, y = int(rng.integers(0, len(people), 2).min()), int(rng.integers(0, len(people) - 1, 2).min())
+            born.append(crossover(people[x], people[y + (y >= x)], sizes, capacity, rng))
+        for _ in range(MUTANTS):
+            born.append(mutate(people[int(rng.integers(0, len(people), 2).min())], sizes, capacity, rng))
+        people = sorted(people + born, key=rank)[:POPULATION]
+    return [_genome(p, n) for p in people]
 
 
 def word_count(text: Column) -> Column:
@@ -263,34 +351,35 @@ def _pack(loose: DataFrame, level: int, seed: int) -> DataFrame:
     dealt = loose.withColumn("shard", F.pmod(F.xxhash64("row", "piece", F.lit(seed + level)), shards))
     rows = checkpointed(dealt.groupBy("kind", "capacity", "shard").agg(F.sort_array(F.collect_list(F.struct("words", "item_id", "piece", "row", "start_word")), False).alias("items")))
     shape = F.transform("items", lambda x: x["words"].cast("int"))
-    islands = rows.select("kind", "capacity", "shard", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island"), shape.alias("sizes"), F.array().cast("array<array<int>>").alias("elite"))
+    islands = rows.select("kind", "capacity", "shard", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island"), shape.alias("sizes"), F.array().cast("array<array<int>>").alias("people"))
     tasks = max(1, -(-sum(-(-n // SHARD) for n in counts.values()) * ISLANDS // PER_TASK))
     done = []
     for epoch in range(EPOCHS):
 
         def run(batches: Iterator[pd.DataFrame], epoch: int = epoch) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                for kind, capacity, shard, island, sizes, elite in zip(*(batch[c] for c in ("kind", "capacity", "shard", "island", "sizes", "elite"))):
+                for kind, capacity, shard, island, sizes, people in zip(*(batch[c] for c in ("kind", "capacity", "shard", "island", "sizes", "people"))):
                     own = [int(x) for x in sizes]
-                    best = evolve(own, int(capacity), [[int(y) for y in x] for x in elite], seed * 1009 + int(shard) * 31 + int(island) * 7 + epoch)
-                    over = max(best[0], default=-1) + 1 + sum(own) // -int(capacity)
-                    yield pd.DataFrame({"kind": [kind], "capacity": [capacity], "shard": [shard], "island": [island], "over": [over], "elite": [best]})
+                    best = evolve(own, int(capacity), [[int(y) for y in x] for x in people], seed * 1009 + int(shard) * 31 + int(island) * 7 + epoch)
+                    over = max(best[0]) + 1 - least_containers(own, int(capacity))
+                    kept = best if over and epoch < EPOCHS - 1 else best[:1]
+                    yield pd.DataFrame({"kind": [kind], "capacity": [capacity], "shard": [shard], "island": [island], "over": [over], "people": [kept]})
 
         spread = islands.repartition(tasks, "kind", "shard", "island")
-        bred = checkpointed(spread.mapInPandas(run, "kind string, capacity int, shard long, island int, over int, elite array<array<int>>"))
+        bred = checkpointed(spread.mapInPandas(run, "kind string, capacity int, shard long, island int, over int, people array<array<int>>"))
         if epoch == EPOCHS - 1:
             done.append(bred)
             break
-        ring = bred.groupBy("kind", "capacity", "shard").agg(F.min("over").alias("over"), F.sort_array(F.collect_list(F.struct("island", "elite"))).alias("all"))
-        done.append(ring.where(F.col("over") <= OVER).select("kind", "shard", F.explode("all").alias("x")).select("kind", "shard", "x.*"))
-        # the elite of an island joins the next one's
-        moved = F.transform("all", lambda x, i: F.struct(x["island"].alias("island"), F.concat(x["elite"], F.slice(F.get(F.col("all"), (i + F.lit(ISLANDS - 1)) % F.lit(ISLANDS))["elite"], 1, 1)).alias("elite")))
-        unfinished = ring.where(F.col("over") > OVER).select("kind", "shard", F.explode(moved).alias("m")).select("kind", "shard", "m.*")
+        ring = bred.groupBy("kind", "capacity", "shard").agg(F.min("over").alias("over"), F.sort_array(F.collect_list(F.struct("island", "people"))).alias("all"))
+        done.append(ring.where(F.col("over") <= 0).select("kind", "shard", F.explode("all").alias("x")).select("kind", "shard", "x.*"))
+        # the elite of an island joins the people of the next one
+        moved = F.transform("all", lambda x, i: F.struct(x["island"].alias("island"), F.concat(x["people"], F.slice(F.get(F.col("all"), (i + F.lit(ISLANDS - 1)) % F.lit(ISLANDS))["people"], 1, ELITE)).alias("people")))
+        unfinished = ring.where(F.col("over") > 0).select("kind", "shard", F.explode(moved).alias("m")).select("kind", "shard", "m.*")
         islands = unfinished.join(rows.select("kind", "capacity", "shard", shape.alias("sizes")), ["kind", "shard"])
-    every = done[0].select("kind", "shard", "island", "elite")
+    every = done[0].select("kind", "shard", "island", "people")
     for x in done[1:]:
-        every = every.unionByName(x.select("kind", "shard", "island", "elite"))
-    best = every.groupBy("kind", "shard").agg(F.min_by(F.col("elite")[0], F.struct(F.array_max(F.col("elite")[0]), "island")).alias("bins"))
+        every = every.unionByName(x.select("kind", "shard", "island", "people"))
+    best = every.groupBy("kind", "shard").agg(F.min_by(F.col("people")[0], F.struct(F.array_max(F.col("people")[0]), "island")).alias("bins"))
     packed = rows.join(best, ["kind", "shard"]).select("kind", "capacity", "shard", F.explode(F.arrays_zip("items", "bins")).alias("x"))
     pieces = F.struct("x.items.row", "x.items.piece", "x.items.item_id", "x.items.start_word", "x.items.words")
     return checkpointed(packed.groupBy("kind", "capacity", "shard", F.col("x.bins").alias("bin")).agg(F.sum("x.items.words").alias("filled"), F.sort_array(F.collect_list(pieces)).alias("content")))
